@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from millrace.operators.blocks import BLOCK, pair_blocks, salted_lookup
 from millrace.operators.features import assemble
-from millrace.operators.neighbours import batches, distances, stack
+from millrace.operators.neighbours import VECTOR, batches, distances, stack
 from millrace.operators.ordering import ordered_index
 from millrace.session import cut_lineage
 
@@ -91,7 +91,7 @@ def hierarchical(df: DataFrame, features: Sequence[str], id: str, k: int = 4, mi
         centres = np.array([[float(r[f]) for f in features] for r in head])
         sizes = np.ones(len(head))
         leaf_of = spark.createDataFrame([(r[id], i) for i, r in enumerate(head)],
-                                        T.StructType([df.schema[id]]).add("_leaf", "int"))
+                                        T.StructType([df.schema[id]]).add("_leaf", "integer"))
         leaves = df.join(leaf_of, id)
     else:
         rows = assemble(df, features, "_vec")
@@ -219,7 +219,7 @@ def dbscan(df: DataFrame, id: str, features: Sequence[str], eps: float = 0.5, mi
     linked = la.join(rb, ["a", "b", "_lb", "_rb"]).filter(gap("l", "r") <= eps * eps)
     linked = linked.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).distinct()
     second = components(linked, first.select(F.col("comp").alias("node")).distinct())
-    merged = first.join(second.withColumnsRenamed({"node": "comp", "comp": "_root"}), "comp")
+    merged = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("_root")), "comp")
     cells = boxes.join(merged.select(F.col("node").alias("_fine"), "_root"), "_fine")
     order = cells.groupBy("_root").agg(F.min("_first").alias("_lowest"))
     order = ordered_index(order, ["_lowest"], "_number").select("_root", F.col("_number").cast("int").alias("cluster"))
@@ -227,7 +227,7 @@ def dbscan(df: DataFrame, id: str, features: Sequence[str], eps: float = 0.5, mi
 
     labelled = salted_lookup(core, cells, "_fine", "_size", "_id")
     reach = meet(other.select("_id", *xs, *grid), labelled.select("_id", "cluster", *xs, *grid))
-    border = reach.groupBy(F.col("l_id").alias("_id")).agg(F.min("r_cluster").alias("cluster"))
+    border = reach.groupBy(F.col("l_id").alias("_id")).agg(F.min("rcluster").alias("cluster"))
     rest = other.join(border, "_id", "left").select(
         F.col("_id").alias(id), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"), F.lit(0).alias("core")
     )
@@ -289,7 +289,7 @@ def silhouette_samples(
                     yield pd.DataFrame({"_id": part["_id"].to_numpy()[r], "_own": part["_k"].to_numpy()[r],
                                         "_v": part["_v"].to_numpy()[r], "_cell": keys[c]})
 
-        schema = T.StructType(route.fields).add("_v", "array<double>").add("_cell", label_type)
+        schema = T.StructType(route.fields).add("_v", VECTOR).add("_cell", label_type)
         left = rows.mapInPandas(candidates, schema)
         right = rows.withColumn("_cell", F.col("_k"))
     else:

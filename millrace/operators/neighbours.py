@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from millrace.operators.blocks import BLOCK, pair_blocks
 from millrace.session import cut_lineage
 
+VECTOR = T.ArrayType(T.DoubleType())
 MAX_PIVOTS = 4_096
 DIGITS = 9  # distances equal to this many digits count as ties
 
@@ -74,7 +75,7 @@ def nearest(
     chosen = p.orderBy(F.xxhash64("_p"), "_p").select("_v").limit(pivots).collect()
     if not chosen:
         schema = T.StructType([T.StructField(query_id, q_type), T.StructField("neighbour", p_type)])
-        schema.add("distance", "double").add("rank", "int")
+        schema.add("distance", "double").add("rank", "integer")
         return queries.sparkSession.createDataFrame([], schema)
     pivot = np.array([r[0] for r in chosen], dtype=float)
 
@@ -85,8 +86,8 @@ def nearest(
                 d = np.vstack([distances(v[s], pivot) for s in batches(len(v), len(pivot))])
                 yield pdf.assign(_cell=d.argmin(axis=1).astype("int32"), _r=d.min(axis=1))
 
-    cell_schema = T.StructType([T.StructField("_p", p_type)]).add("_v", "array<double>")
-    cell_schema = cell_schema.add("_cell", "int").add("_r", "double")
+    cell_schema = T.StructType([T.StructField("_p", p_type)]).add("_v", VECTOR)
+    cell_schema = cell_schema.add("_cell", "integer").add("_r", "double")
     assigned = cut_lineage(p.mapInPandas(to_cell, cell_schema))
     by_cell = W.partitionBy("_cell").orderBy("_r")
     radii = assigned.select("_cell", "_r", F.row_number().over(by_cell).alias("_n")).filter(F.col("_n") <= wanted)
@@ -113,7 +114,7 @@ def nearest(
                     {"_q": part["_q"].to_numpy()[rows], "_v": part["_v"].to_numpy()[rows], "_cell": number[cols]}
                 )
 
-    route_schema = T.StructType([T.StructField("_q", q_type)]).add("_v", "array<double>").add("_cell", "int")
+    route_schema = T.StructType([T.StructField("_q", q_type)]).add("_v", VECTOR).add("_cell", "integer")
     routed = q.mapInPandas(to_cells, route_schema)
     left, right = pair_blocks(routed, assigned.drop("_r"), ["_cell"], "_q", "_p", block)
 

@@ -38,6 +38,11 @@ def ordered_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "
     )
 
 
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key; one small aggregation."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def hot_chunks(
     df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE
 ) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +85,11 @@ def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, hot_rows: int = HOT_ROWS,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """``lag(value)`` per key along ``order``, with very large keys cut into pieces."""
+    """``lag(value)`` per key along ``order``. Keys are counted first: if none is large a plain window does, otherwise
+    the large ones are cut into pieces."""
     keys = list(keys)
+    if largest_key(df, keys) <= hot_rows:
+        return df.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
     chunked, hot = hot_chunks(df, keys, order, hot_rows, hot_share)
     carry = _carry(chunked, hot, keys, order, value, skip_nulls=False)
     w = W.partitionBy(*keys, "_chunk").orderBy(order)
@@ -98,13 +106,18 @@ def forward_fill(
     df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str | None = None,
     hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Last non-null value so far per key (or over the whole table when ``keys`` is empty)."""
+    """Last non-null value so far per key (or over the whole table when ``keys`` is empty). As in ``with_previous``,
+    only keys that turn out to be large are cut into pieces."""
     name = name or value
     whole = not keys
     if whole:
         df = df.withColumn("_all", F.lit(0))
         keys = ["_all"]
     keys = list(keys)
+    if largest_key(df, keys) <= hot_rows:
+        w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        filled = df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+        return filled.drop("_all") if whole else filled
     chunked, hot = hot_chunks(df, keys, order, hot_rows, hot_share)
     carry = _carry(chunked, hot, keys, order, value, skip_nulls=True)
     w = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)

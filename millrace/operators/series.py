@@ -118,8 +118,9 @@ def grid_return(
         joined = dated.join(before, [key, "_previous_date"], "left")
         return joined.select(key, order, value, ratio_change(value, "_previous").alias("grid_return"))
     # Look from the next price back over the gap: the previous price holds until the day before the next one.
-    gaps = with_previous(dated, [key], order, "_pos", "_from")
-    gaps = with_previous(gaps, [key], order, value, "_held")
+    both = dated.withColumn("_own", F.struct("_pos", F.col(value).alias("_close")))
+    gaps = with_previous(both, [key], order, "_own", "_before")
+    gaps = gaps.withColumns({"_from": F.col("_before._pos"), "_held": F.col("_before._close")})
     inner = gaps.filter(F.col("_from") < F.col("_pos") - 1).select(
         key, F.explode(F.sequence(F.col("_from") + 1, F.col("_pos") - 1)).alias("_pos"), F.col("_held").alias(value),
         F.lit(0.0).alias("grid_return"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import reports
+from millrace.plans import models, prices, reports
 from millrace.plans.fixtures import with_views
 
-MODULES = (reports,)
+MODULES = (reports, prices, models)
 
 
 def queries() -> dict:
