@@ -289,7 +289,7 @@ def silhouette_samples(
                     yield pd.DataFrame({"_id": part["_id"].to_numpy()[r], "_own": part["_k"].to_numpy()[r],
                                         "_v": part["_v"].to_numpy()[r], "_cell": keys[c]})
 
-        schema = T.StructType(route.fields).add("_v", VECTOR).add("_cell", label_type)
+        schema = T.StructType([*route.fields]).add("_v", VECTOR).add("_cell", label_type)
         left = rows.mapInPandas(candidates, schema)
         right = rows.withColumn("_cell", F.col("_k"))
     else:
@@ -313,7 +313,7 @@ def silhouette_samples(
                     "_k": np.tile(names, len(part)), "_sum": total.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"_id": [], "_own": [], "_k": [], "_sum": []})
 
-    schema = T.StructType(route.fields).add("_k", label_type).add("_sum", "double")
+    schema = T.StructType([*route.fields]).add("_k", label_type).add("_sum", "double")
     group = ["_cell", "_lb", "_rb"]
     parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(sums, schema)
     totals = parts.groupBy("_id", "_own", "_k").agg(F.sum("_sum").alias("_sum"))

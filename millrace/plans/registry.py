@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import models, prices, reports
+from millrace.plans import models, prices, reports, texts
 from millrace.plans.fixtures import with_views
 
-MODULES = (reports, prices, models)
+MODULES = (reports, prices, models, texts)
 
 
 def queries() -> dict:
