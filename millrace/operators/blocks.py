@@ -50,10 +50,14 @@ def salted_lookup(
     """Inner join with a table that is unique on ``key`` and knows in ``size`` how many rows of ``df`` each key has.
 
     Keys above both ``hot_rows`` and 1/``hot_share`` of all rows are split by a hash of ``row_id``. There are
-    fewer than ``hot_share`` of them by arithmetic, which bounds the broadcast list of hot keys.
+    fewer than ``hot_share`` of them by arithmetic, which bounds the broadcast list of hot keys. Without such keys it
+    is an ordinary join. ``table`` is read more than once, so pass a materialised one.
     """
-    part = F.greatest(F.lit(hot_rows), F.ceil(table.agg(F.sum(size)).scalar() / hot_share))
-    salts = F.ceil(F.col(size) / part)
+    total, largest = table.agg(F.sum(size), F.max(size)).first()
+    part = max(hot_rows, (total or 0) // hot_share + 1)
+    if (largest or 0) <= part:
+        return df.join(table, key)
+    salts = F.ceil(F.col(size) / F.lit(part))
     hot = table.filter(F.col(size) > part).select(key, salts.alias("_salts"))
     salt = F.pmod(F.xxhash64(row_id), F.coalesce("_salts", F.lit(1)))
     left = df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")

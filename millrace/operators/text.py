@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import lookup_key
 from millrace.operators.blocks import pair_blocks, salted_lookup
+from millrace.session import cut_lineage
 
 # Runs of letters, digits and underscore, as Python's \w sees them.
 WORD = r"[\p{L}\p{N}_]"
@@ -91,44 +93,67 @@ def postings(df: DataFrame, id: str, text: str, carry: Sequence[str] = ()) -> Da
     return df.select(id, *carry, terms).groupBy(id, *carry, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(posted: DataFrame, copies: str | None = None) -> DataFrame:
-    """(term, df, n_rows): documents per term and posting rows per term."""
-    # The count reads tf so that this branch needs the same columns as the postings and shares their shuffle.
-    rows = F.count_if(F.col("tf") > 0)
-    return posted.groupBy("term").agg((F.sum(copies) if copies else rows).alias("df"), rows.alias("n_rows"))
-
-
-def _idf(n: Column) -> Column:
-    return F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
-
-
-def tfidf(df: DataFrame, id: str, text: str, copies: str | None = None) -> DataFrame:
-    """(id, term, tf, df, weight): raw tf x (ln((1 + n) / (1 + df)) + 1), every document scaled to length 1.
-
-    ``copies`` counts how many identical documents a row stands for.
-    """
-    n = df.agg(F.sum(copies) if copies else F.count("*")).scalar()
-    posted = postings(df, id, text, [copies] if copies else [])
-    table = document_frequency(posted, copies)
-    # Frequent terms make this join skewed; their rows are spread by document.
-    raw = salted_lookup(posted, table, "term", "n_rows", id).withColumn("_w", F.col("tf") * _idf(n))
+def _unit(raw: DataFrame, id: str, name: str) -> DataFrame:
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(id)))
-    weighted = raw.withColumn("weight", F.col("_w") / length)
-    return weighted.select(id, *([copies] if copies else []), "term", "tf", "df", "weight")
+    return raw.withColumn(name, F.col("_w") / length)
+
+
+@dataclass(frozen=True)
+class TfIdf:
+    """A fitted corpus. Texts are tokenised once: postings and term statistics are written out and shared by all uses."""
+
+    id: str
+    n: int
+    posted: DataFrame
+    terms: DataFrame  # (term, df, n_rows): documents and posting rows per term
+    copies: str | None
+
+    @classmethod
+    def fit(cls, df: DataFrame, id: str, text: str, copies: str | None = None) -> TfIdf:
+        """``copies`` names a column that counts how many identical documents a row stands for."""
+        n = df.agg(F.sum(copies) if copies else F.count("*")).first()[0] or 0
+        posted = cut_lineage(postings(df, id, text, [copies] if copies else []))
+        documents = F.sum(copies) if copies else F.count("*")
+        terms = cut_lineage(posted.groupBy("term").agg(documents.alias("df"), F.count("*").alias("n_rows")))
+        return cls(id, n, posted, terms, copies)
+
+    @property
+    def idf(self) -> Column:
+        """ln((1 + n) / (1 + df)) + 1."""
+        return F.log(F.lit(1.0 + self.n) / (F.lit(1.0) + F.col("df"))) + 1
+
+    def weights(self) -> DataFrame:
+        """(id, term, tf, df, weight): tf x idf, every document scaled to length 1."""
+        # Frequent terms make this join skewed; their rows are spread by document.
+        raw = salted_lookup(self.posted, self.terms, "term", "n_rows", self.id).withColumn("_w", F.col("tf") * self.idf)
+        carried = [self.copies] if self.copies else []
+        return _unit(raw, self.id, "weight").select(self.id, *carried, "term", "tf", "df", "weight")
+
+    def transform(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+        """(query_id, term, q) of unseen texts; words the corpus does not have are dropped."""
+        asked = postings(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_t")), "query_id", "_t")
+        raw = asked.join(self.terms, "term").withColumn("_w", F.col("tf") * self.idf)
+        return _unit(raw, "query_id", "q").select("query_id", "term", "q")
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id, score) for every document that shares a term with a query (query_id, term, q)."""
+        sizes = self.terms.select("term", F.col("n_rows").alias("n"))
+        rows = self.weights().select(self.id, "term", "weight")
+        left, right = pair_blocks(rows, queries, ["term"], self.id, "query_id", JOIN_BLOCK, sizes)
+        joined = left.join(right, ["term", "_lb", "_rb"])
+        return joined.groupBy("query_id", self.id).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+
+
+def tfidf(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, term, tf, df, weight) of a corpus."""
+    return TfIdf.fit(df, id, text).weights()
 
 
 def corpus_shape(df: DataFrame, id: str, text: str) -> DataFrame:
     """(documents, vocabulary)."""
-    vocabulary = document_frequency(postings(df, id, text)).agg(F.count("*")).scalar()
-    return df.agg(F.count("*").alias("documents")).withColumn("vocabulary", vocabulary)
-
-
-def _scores(weights: DataFrame, queries: DataFrame, id: str) -> DataFrame:
-    """(query_id, id, score) for every document that shares a term with a query (query_id, term, q)."""
-    sizes = weights.groupBy("term").agg(F.count("*").alias("n"))
-    left, right = pair_blocks(weights.select(id, "term", "weight"), queries, ["term"], id, "query_id", JOIN_BLOCK, sizes)
-    joined = left.join(right, ["term", "_lb", "_rb"])
-    return joined.groupBy("query_id", id).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("term"))
+    vocabulary = words.distinct().agg(F.count("*")).scalar()
+    return df.agg(F.count(id).alias("documents")).withColumn("vocabulary", vocabulary)
 
 
 def _top(scored: DataFrame, docs: DataFrame, query_ids: DataFrame, id: str, n: int, exclude_self: bool) -> DataFrame:
@@ -141,8 +166,8 @@ def _top(scored: DataFrame, docs: DataFrame, query_ids: DataFrame, id: str, n: i
     both = scored.unionByName(zero)
     if exclude_self:
         both = both.filter(F.col("query_id") != F.col(id))
-    # A zero row of a document that also has a real score is its duplicate: keep the better of the two. 2n rows per
-    # query are enough for that, because at most half of them can be such duplicates.
+    # A document can have a real and a zero row; 3n + 1 rows per query are enough to hold n different documents, and
+    # the rank filter applies before the shuffle.
     order = [F.desc(F.round("score", 9)), F.asc(id)]
     kept = both.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(
         F.col("_r") <= 3 * n + 1
@@ -153,31 +178,24 @@ def _top(scored: DataFrame, docs: DataFrame, query_ids: DataFrame, id: str, n: i
 
 
 def similar_docs(
-    df: DataFrame, seeds: DataFrame, id: str, text: str, n: int = 10, weights: DataFrame | None = None
+    df: DataFrame, seeds: DataFrame, id: str, text: str, n: int = 10, model: TfIdf | None = None
 ) -> DataFrame:
     """(query_id, id, score, rank): the ``n`` documents closest to each seed id, the seed itself left out."""
-    weights = tfidf(df, id, text) if weights is None else weights
+    model = model or TfIdf.fit(df, id, text)
     ids = seeds.select(F.col(id).alias("query_id"))
-    queries = weights.join(ids, F.col(id) == F.col("query_id")).select(
-        "query_id", "term", F.col("weight").alias("q")
-    )
-    return _top(_scores(weights, queries, id), df, ids, id, n, exclude_self=True)
+    vectors = model.weights().withColumnsRenamed({id: "query_id", "weight": "q"}).join(ids, "query_id", "left_semi")
+    return _top(model.scores(vectors.select("query_id", "term", "q")), df, ids, id, n, exclude_self=True)
 
 
 def match_text(
-    df: DataFrame, queries: DataFrame, id: str, text: str, query_id: str, query_text: str, n: int = 5
+    df: DataFrame, queries: DataFrame, id: str, text: str, query_id: str, query_text: str, n: int = 5,
+    model: TfIdf | None = None,
 ) -> DataFrame:
-    """(query_id, id, score, rank): the ``n`` documents closest to each free text. Query words the corpus does not
-    have are dropped; the query is lower-cased but otherwise taken as it is."""
-    weights = tfidf(df, id, text)
-    total = df.agg(F.count("*")).scalar()
-    asked = postings(queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("_t")), "query_id", "_t")
-    table = document_frequency(postings(df, id, text)).select("term", "df")
-    raw = asked.join(table, "term").withColumn("_w", F.col("tf") * _idf(total))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("query_id")))
-    unit = raw.select("query_id", "term", (F.col("_w") / length).alias("q"))
+    """(query_id, id, score, rank): the ``n`` documents closest to each free text. The text is lower-cased but otherwise
+    taken as it is."""
+    model = model or TfIdf.fit(df, id, text)
     ids = queries.select(F.col(query_id).alias("query_id"))
-    return _top(_scores(weights, unit, id), df, ids, id, n, exclude_self=False)
+    return _top(model.scores(model.transform(queries, query_id, query_text)), df, ids, id, n, exclude_self=False)
 
 
 def text_copies(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -190,24 +208,38 @@ def cosine_pairs(df: DataFrame, id: str, text: str, min_score: float = 0.5) -> D
     """(a, b, n_a, n_b, score): all pairs of distinct texts with cosine of at least ``min_score``.
 
     Identical texts are one row with their number of copies, so a text copied a million times is compared once.
-    The similarity join is exact: with terms in order of rising document frequency, a pair can only reach the
-    score if it shares a term of both prefixes, where a prefix ends once the rest is shorter than ``min_score``
-    (prefix filtering of Bayardo et al., WWW 2007).
+    The similarity join is exact. Terms are taken in order of rising document frequency; a document's head ends once
+    the rest is shorter than half of ``min_score``. Joining heads with whole documents gives a partial score, and only
+    pairs whose partial score plus the length of the rest reaches ``min_score`` look at the rest, which holds the most
+    frequent terms (the partial-index bound of Bayardo et al., WWW 2007).
     """
     lone = df.join(text_copies(df, id, text), id)
-    weights = tfidf(lone.select(id, text, "n_copies"), id, text, "n_copies")
-    by_rarity = W.partitionBy(id).orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rest = F.sum(F.col("weight") * F.col("weight")).over(by_rarity)
-    prefix = weights.withColumn("_rest", rest).filter(F.col("_rest") >= min_score**2 - 1e-9).select(id, "term")
-    left, right = pair_blocks(
-        prefix.withColumnRenamed(id, "a"), prefix.withColumnRenamed(id, "b"), ["term"], "a", "b"
+    model = TfIdf.fit(lone.select(id, text, "n_copies"), id, text, "n_copies")
+    weights = cut_lineage(model.weights())
+    common_first = W.partitionBy(id).orderBy(F.desc("df"), F.desc("term"))
+    below = F.sum(F.col("weight") * F.col("weight")).over(
+        common_first.rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    marked = weights.withColumn("_below", below).withColumn("_head", F.col("_below") >= (min_score / 2) ** 2)
+    tail = F.max(F.when(~F.col("_head"), F.col("_below"))).over(W.partitionBy(id))
+    marked = cut_lineage(marked.withColumn("_tail", F.sqrt(F.coalesce(tail, F.lit(0.0)))))
+    head = marked.filter("_head").select(F.col(id).alias("a"), "term", F.col("weight").alias("_wa"), "_tail")
+    whole = weights.select(F.col(id).alias("b"), "term", F.col("weight").alias("_wb"))
+    left, right = pair_blocks(head, whole, ["term"], "a", "b")
+    met = left.join(right, ["term", "_lb", "_rb"]).filter(F.col("a") < F.col("b"))
+    partial = met.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_part"), F.max("_tail").alias("_tail"))
+    close = cut_lineage(partial.filter(F.col("_part") + F.col("_tail") >= min_score - 1e-9).select("a", "b", "_part"))
+    rest = marked.filter("not _head").select(F.col(id).alias("a"), "term", F.col("weight").alias("_wa"))
+    added = close.join(rest, "a").join(whole, ["b", "term"]).groupBy("a", "b").agg(
+        F.sum(F.col("_wa") * F.col("_wb")).alias("_more")
     )
-    pairs = left.join(right, ["term", "_lb", "_rb"]).filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    of_a = weights.select(F.col(id).alias("a"), "term", F.col("weight").alias("_wa"), F.col("n_copies").alias("n_a"))
-    of_b = weights.select(F.col(id).alias("b"), "term", F.col("weight").alias("_wb"), F.col("n_copies").alias("n_b"))
-    joined = pairs.join(of_a, "a").join(of_b, ["b", "term"])
-    scored = joined.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("score"))
-    return scored.filter(F.round("score", 9) >= min_score)
+    score = F.col("_part") + F.coalesce("_more", F.lit(0.0))
+    scored = close.join(added, ["a", "b"], "left").withColumn("score", score)
+    scored = scored.filter(F.round("score", 9) >= min_score)
+    n_of = text_copies(df, id, text)
+    n_a = n_of.select(F.col(id).alias("a"), F.col("n_copies").alias("n_a"))
+    n_b = n_of.select(F.col(id).alias("b"), F.col("n_copies").alias("n_b"))
+    return scored.join(n_a, "a").join(n_b, "b").select("a", "b", "n_a", "n_b", "score")
 
 
 def title_index(df: DataFrame, id: str, title: str) -> DataFrame:
