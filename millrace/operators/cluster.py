@@ -291,11 +291,12 @@ def silhouette_samples(
 
         schema = T.StructType([*route.fields]).add("_v", VECTOR).add("_cell", label_type)
         left = rows.mapInPandas(candidates, schema)
-        right = rows.withColumn("_cell", F.col("_k"))
+        cell = F.col("_k")
     else:
         left = rows.select("_id", F.col("_k").alias("_own"), "_v", F.lit(0).alias("_cell"))
-        right = rows.withColumn("_cell", F.lit(0))
-    left, right = pair_blocks(left, right, ["_cell"], "_id", "_id", block)
+        cell = F.lit(0)
+    right = rows.select(F.col("_id").alias("_p"), F.col("_k").alias("_k"), F.col("_v").alias("_v"), cell.alias("_cell"))
+    left, right = pair_blocks(left, right, ["_cell"], "_id", "_p", block)
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -20,7 +20,7 @@ EPSILON = 2.220446049250313e-16  # double precision machine epsilon
 KINDS = {
     "linear": lambda: LinearRegression(solver="normal", regParam=0.0),
     "forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=5, seed=SEED),
-    "gbt": lambda: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED),
+    "gbt": lambda: GBTRegressor(maxIter=30, stepSize=0.1, maxDepth=3, seed=SEED),
 }
 
 

@@ -22,7 +22,8 @@ def decode_utf8(content: str | Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """One row per file: path, extension, supported flag, bytes. Unsupported files are flagged, not dropped."""
+    """One row per file: path, extension, supported flag, bytes. Unsupported files are flagged, not dropped.
+    Files of zero bytes have no row: the file source skips them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     extension = file_extension("path")
     return files.select(
