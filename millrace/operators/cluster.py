@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 from math import floor, sqrt
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -26,13 +28,22 @@ NOISE = -1
 
 # --- k-means ----------------------------------------------------------------------------------------------
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 24):
-    """(labelled rows, centres): the restart with the lowest cost; ``cluster`` is added to the source columns."""
-    rows = assemble(df, features, "_vec").persist()
+def kmeans(
+    df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 24, parallelism: int = 4
+):
+    """(labelled rows, centres): the restart with the lowest cost; ``cluster`` is added to the source columns.
+
+    The restarts are independent jobs over one cached vector column, ``parallelism`` of them at a time.
+    """
+    rows = assemble(df, features, "_vec").select("_vec").persist()
+
+    def run(i):
+        model = KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol="cluster").fit(rows)
+        return model.summary.trainingCost, i, model
+
     try:
-        models = (KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol="cluster").fit(rows)
-                  for i in range(restarts))
-        best = min(models, key=lambda m: m.summary.trainingCost)
+        with ThreadPool(min(parallelism, restarts)) as pool:
+            best = min(pool.map(inheritable_thread_target(run), range(restarts)), key=lambda r: r[:2])[2]
     finally:
         rows.unpersist()
     labelled = best.transform(assemble(df, features, "_vec")).drop("_vec")

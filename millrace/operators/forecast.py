@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -53,8 +55,11 @@ def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS
     kept = train.filter(F.col("sample") < F.floor(n * F.lit(1 - holdout)))
     rows = kept.withColumn("features", array_to_vector("window")).persist()
     try:
-        make = KINDS[kind]
-        return {h: make().setLabelCol(f"label_{h}").fit(rows) for h in horizons}
+        def run(h):
+            return h, KINDS[kind]().setLabelCol(f"label_{h}").fit(rows)
+
+        with ThreadPool(len(horizons)) as pool:  # independent fits over the same cached rows
+            return dict(pool.map(inheritable_thread_target(run), horizons))
     finally:
         rows.unpersist()
 

@@ -45,15 +45,22 @@ def exact_quantiles(
 
     open_ = [t for t in targets if t["n"] > gather]
     while open_:
-        sketch = []
+        # Ranks that still share an interval share one sketch.
+        shared: dict[tuple, list[int]] = {}
         for i, t in enumerate(open_):
-            p = t["rank"] / max(t["n"] - 1, 1)
-            ends = [max(0.0, p - SLACK), min(1.0, p + SLACK)]
-            sketch.append(F.percentile_approx(inside(t), ends, ACCURACY).alias(f"e{i}"))
-        ends = df.agg(*sketch).first()
+            shared.setdefault((t["c"], t["lo"], t["hi"]), []).append(i)
+        sketch = []
+        for j, members in enumerate(shared.values()):
+            fractions = []
+            for i in members:
+                p = open_[i]["rank"] / max(open_[i]["n"] - 1, 1)
+                fractions += [max(0.0, p - SLACK), min(1.0, p + SLACK)]
+            sketch.append(F.percentile_approx(inside(open_[members[0]]), fractions, ACCURACY).alias(f"s{j}"))
+        got = df.agg(*sketch).first()
+        ends = {i: got[f"s{j}"][2 * m : 2 * m + 2] for j, members in enumerate(shared.values()) for m, i in enumerate(members)}
         tally = []
         for i, t in enumerate(open_):
-            x, (a, b) = inside(t), ends[f"e{i}"]
+            x, (a, b) = inside(t), ends[i]
             tally += [
                 F.count_if(x < a).alias(f"below{i}"),
                 F.count_if(x == a).alias(f"on_a{i}"),
@@ -62,7 +69,7 @@ def exact_quantiles(
             ]
         got = df.agg(*tally).first()
         for i, t in enumerate(open_):
-            a, b = ends[f"e{i}"]
+            a, b = ends[i]
             below, on_a, mid = got[f"below{i}"], got[f"on_a{i}"], got[f"mid{i}"]
             on_b = got[f"on_b{i}"] if b > a else 0
             r = t["rank"]

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.features import StandardScale, assemble
 from millrace.operators.neighbours import nearest
+from millrace.session import cut_lineage
 
 SEED = 42
 
@@ -139,10 +142,13 @@ def compare_models(
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Metrics of several models side by side, best R2 first."""
-    frames = [
-        predict_with(n, train, test, features, label, key, **(options or {}).get(n, {})).withColumn("model", F.lit(n))
-        for n in names
-    ]
+    train, test = cut_lineage(train), cut_lineage(test)  # read by every model
+
+    def run(n):
+        return predict_with(n, train, test, features, label, key, **(options or {}).get(n, {})).withColumn("model", F.lit(n))
+
+    with ThreadPool(min(4, len(names))) as pool:  # independent fits
+        frames = pool.map(inheritable_thread_target(run), names)
     union = reduce(DataFrame.unionByName, frames)
     return regression_metrics(union, "actual", "prediction", ["model"]).orderBy(F.desc_nulls_last("r2"), "model")
 

@@ -15,8 +15,8 @@ from millrace.session import cut_lineage
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = WORD + r"+(?:['-]" + WORD + r"+)*|[^\p{L}\p{N}_\s]"
 TERM = WORD + r"{2,}"
-# Unicode white space, spelled out so that every regex engine reads it alike.
-SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# Unicode white space and the four ASCII separators, as Python's \s sees them.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 JOIN_BLOCK = 1_000_000  # rows of one term per join task
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import cluster, features, neighbours, profile, regress
 from millrace.plans.fixtures import view
+from millrace.session import cut_lineage, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -41,7 +42,7 @@ def prepared(spark, sf):
 
 
 def sides(spark, sf):
-    rows = prepared(spark, sf)
+    rows = spread(cut_lineage(prepared(spark, sf)))
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
@@ -187,7 +188,7 @@ def model_comparison(spark, sf):
 # --- clustering -------------------------------------------------------------------------------------------
 
 def scaled_workouts(spark, sf):
-    rows = workouts(spark, sf)
+    rows = spread(workouts(spark, sf))
     return features.StandardScale.fit(rows, SCALED).transform(rows).select("id", *SCALED)
 
 

@@ -2,7 +2,10 @@
 
 from millrace.functions.columns import NUMBER
 from millrace.operators.docs import DROPPED_TAGS, ENTITIES
-from millrace.operators.text import NOUN_ENDINGS, SPACE, STOP_WORDS, TERM, TOKEN, WORD
+from millrace.operators.text import NOUN_ENDINGS, STOP_WORDS, TERM, TOKEN, WORD
+
+# The same white space spelled out, for an engine whose \s is ASCII only.
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def quoted(text: str) -> str:

@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly when a scan or written copy has fewer splits than the cluster has cores.
+
+    Large tables have many more splits than cores and come back unchanged, without a shuffle. Meant for heavy work
+    per row (texts, model fitting) on tables stored in a few big pieces; pass a scan or a checkpointed frame.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
