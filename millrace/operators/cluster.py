@@ -43,7 +43,7 @@ def kmeans(
 
     try:
         with ThreadPool(min(parallelism, restarts)) as pool:
-            best = min(pool.map(inheritable_thread_target(run), range(restarts)), key=lambda r: r[:2])[2]
+            best = min(pool.map(inheritable_thread_target(df.sparkSession)(run), range(restarts)), key=lambda r: r[:2])[2]
     finally:
         rows.unpersist()
     labelled = best.transform(assemble(df, features, "_vec")).drop("_vec")

@@ -59,7 +59,7 @@ def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS
             return h, KINDS[kind]().setLabelCol(f"label_{h}").fit(rows)
 
         with ThreadPool(len(horizons)) as pool:  # independent fits over the same cached rows
-            return dict(pool.map(inheritable_thread_target(run), horizons))
+            return dict(pool.map(inheritable_thread_target(train.sparkSession)(run), horizons))
     finally:
         rows.unpersist()
 

@@ -125,8 +125,8 @@ def nearest(
             p_ids, q_ids = b["_p"].to_numpy(), a["_q"].to_numpy()
             x, y = stack(a["_v"]), stack(b["_v"])
             for s in batches(len(x), len(y)):
-                d = np.round(distances(x[s], y), DIGITS)
-                rows, cols = k_smallest(d, wanted)
+                d = distances(x[s], y)
+                rows, cols = k_smallest(np.round(d, DIGITS), wanted)
                 out.append(pd.DataFrame({"_q": q_ids[s][rows], "_p": p_ids[cols], "distance": d[rows, cols]}))
         return pd.concat(out) if out else pd.DataFrame({"_q": [], "_p": [], "distance": []})
 
@@ -135,7 +135,7 @@ def nearest(
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, pair_schema)
     if exclude_same:
         found = found.filter(F.col("_q") != F.col("_p"))
-    rank = F.row_number().over(W.partitionBy("_q").orderBy("distance", "_p"))
+    rank = F.row_number().over(W.partitionBy("_q").orderBy(F.round("distance", DIGITS), "_p"))
     found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return found.select(F.col("_q").alias(query_id), F.col("_p").alias("neighbour"), "distance", "rank")
 

@@ -148,7 +148,7 @@ def compare_models(
         return predict_with(n, train, test, features, label, key, **(options or {}).get(n, {})).withColumn("model", F.lit(n))
 
     with ThreadPool(min(4, len(names))) as pool:  # independent fits
-        frames = pool.map(inheritable_thread_target(run), names)
+        frames = pool.map(inheritable_thread_target(train.sparkSession)(run), names)
     union = reduce(DataFrame.unionByName, frames)
     return regression_metrics(union, "actual", "prediction", ["model"]).orderBy(F.desc_nulls_last("r2"), "model")
 

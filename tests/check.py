@@ -5,7 +5,6 @@ import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
