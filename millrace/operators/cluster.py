@@ -19,7 +19,7 @@ from millrace.operators.blocks import BLOCK, pair_blocks, salted_lookup
 from millrace.operators.features import assemble
 from millrace.operators.neighbours import VECTOR, batches, distances, stack
 from millrace.operators.ordering import ordered_index
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, write_and_read
 
 MICRO = 256
 MAX_CLUSTERS = 4_096
@@ -131,7 +131,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         )
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
         moved = lower.join(jump, "comp").select("node", "_old", F.col("_next").alias("comp"))
-        moved = cut_lineage(moved)
+        moved = write_and_read(moved)
         labels = moved.select("node", "comp")
         if moved.filter(F.col("_old") != F.col("comp")).limit(1).count() == 0:
             return labels
@@ -221,7 +221,7 @@ def dbscan(df: DataFrame, id: str, features: Sequence[str], eps: float = 0.5, mi
     side_a = first.withColumnsRenamed({"node": "a", "comp": "_ca"})
     side_b = first.withColumnsRenamed({"node": "b", "comp": "_cb"})
     unsure = touching.filter(~sure).join(side_a, "a").join(side_b, "b").filter(F.col("_ca") != F.col("_cb"))
-    unsure = unsure.select("a", "b", "_ca", "_cb")
+    unsure = cut_lineage(unsure.select("a", "b", "_ca", "_cb"))
     la = unsure.join(core.select(F.col("_fine").alias("a"), F.col("_id").alias("l_id"),
                                  *[F.col(x).alias(f"l{x}") for x in xs]), "a")
     rb = unsure.select("a", "b").join(core.select(F.col("_fine").alias("b"), F.col("_id").alias("r_id"),
