@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import checkpoint_folder
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
@@ -139,7 +141,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path next to the checkpoints, which all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"

@@ -34,19 +34,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The written copy survives lost executors. Only a local session without that setting gets a folder of
     its own; on a cluster a missing setting is an error, since a machine-local folder would lose data.
     """
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def write_and_read(df: DataFrame) -> DataFrame:
     """The same through a Parquet table in that folder. For loops: a checkpointed frame keeps the constraints the
     optimizer has inferred, and they pile up from round to round; a table starts clean."""
-    path = f"{_checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written tables, set up on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
