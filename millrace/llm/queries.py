@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import near_dedup
+from millrace.llm import chat, mixing, near_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,100 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
-SQL: dict[str, str] = {}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sizes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("select -7L as conv_id, turn, role, text from values (0L, 'user', '</s>[INST] ok [/INST]'), "
+                     "(1L, 'assistant', '</s>[INST] ok [/INST]') as t(turn, role, text)")
+    out = chat.format_chats(turns.unionByName(more))
+    read = out.select("*", chat.parsed_turns(F.col("formatted")).alias("read"), chat.loss_text(F.col("segments")).alias("loss"))
+    joined = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format)}
+
+
+def _mixing_sql() -> str:
+    digits = 2 * mixing.DIGITS
+    w = mixing.WEIGHTS
+    return f"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::bigint as size,
+    ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, {digits}))::bigint as draw
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size,
+    case (row_number() over (order by source nulls last) - 1) % 3 when 0 then {w[0]} when 1 then {w[1]} else {w[2]} end as weight
+  from sized group by source),
+filled as (
+  select *, sum(source_size) over ()
+      - coalesce(sum({mixing.EPOCHS} * source_size) over (o rows between unbounded preceding and 1 preceding), 0) as free,
+    sum(weight) over (o rows between current row and unbounded following) as shares
+  from sources window o as (order by {mixing.EPOCHS} * source_size / weight, source nulls last)),
+level as (
+  select free::double as free, shares::double as shares from filled
+  where {mixing.EPOCHS} * source_size * shares >= free * weight order by {mixing.EPOCHS} * source_size / weight, source nulls last limit 1),
+targets as (
+  select source, source_size,
+    least({mixing.EPOCHS} * source_size::double, (select free from level) * weight / (select shares from level)) as target
+  from sources),
+wanted as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from targets),
+parts as (
+  select s.source, draw, sum(size) as size, sum(sum(size)) over (partition by s.source order by draw) as upto
+  from sized s group by s.source, draw),
+limits as (
+  select p.source, draw + case when upto - (target - whole * source_size) < (target - whole * source_size) - (upto - p.size)
+    then 1 else 0 end as cut
+  from parts p join wanted w on p.source is not distinct from w.source
+  where upto - p.size <= target - whole * source_size and target - whole * source_size < upto)
+select s.doc_id, s.size, w.source_size, w.target,
+  (w.whole + case when s.draw < coalesce(l.cut, 0) then 1 else 0 end) * s.size as taken
+from sized s join wanted w on s.source is not distinct from w.source left join limits l on s.source is not distinct from l.source
+"""
+
+
+def _chat_sql() -> str:
+    t = chat.DEFAULT
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, '\\', '\\\\')"
+        for control in t.guarded:
+            x = f"replace({x}, {quoted(control)}, {quoted(control[0] + chat.ESCAPE + control[1:])})"
+        return x
+
+    marks = len(t.opening) + len(t.closing) + 1
+    role = f"replace({escaped('role')}, chr(10), '\\' || chr(10))"
+    loss = "role in (" + ", ".join(map(quoted, t.loss_roles)) + ")"
+    return f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+chats as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as joined,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where {loss}), '') as loss,
+    sum(length({role}) + length({escaped('text')}) + {marks})::bigint as formatted_chars
+  from turns group by conv_id)
+select conv_id, n_turns, sha256(joined) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars
+from chats
+"""
+
+
+SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op5_chat_format": _chat_sql()}
