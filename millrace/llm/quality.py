@@ -13,10 +13,11 @@ from millrace.llm.words import SPACES, WORD_BYTES, Hasher, byte_table, spans
 
 SYMBOLS = b"#*$%&|<>"
 LENGTHS = (5, 6, 7, 8, 9, 10)
-# The published largest shares of characters in repeated n-grams and lines (J. Rae et al., 2021).
-MOST_IN_GRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-MOST_IN_LINES = 0.20
-MOST_SYMBOLS = 0.5  # symbols a word
+# Largest shares of characters in n-grams and lines that repeat earlier ones. A tenth above published limits for web
+# text, so that a short text whose head line comes back at its end stays.
+MOST_IN_GRAMS = {n: 0.30 - 0.01 * n for n in LENGTHS}
+MOST_IN_LINES = 0.30
+MOST_SYMBOLS = 0.2  # symbols a word
 FEWEST_WORDS = 20
 MOST_REPEATED = 30  # percent of words in repeated windows
 WINDOW = 8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, near_dedup, quality
+from millrace.llm import chat, licenses, mixing, near_dedup, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,28 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=kind: s.startswith(f"{k}:"))).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    base = F.filter("spans", lambda s: ~s.startswith("learned:"))
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_notices(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score", F.array_join("spans", ",").alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format, op8_secret_scan, op10_license_scan)}
 
 
 def _mixing_sql() -> str:
