@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, licenses, mixing, near_dedup, quality, secrets
+from millrace.llm import chat, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,30 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(3) == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s.startswith(f"{k}:"))).cast("long").alias(f"n_{kind}")
-        for kind in ("assign", "access", "hex")
-    ]
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("spans", lambda s: s.startswith(f"{kind}:"))
+
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     base = F.filter("spans", lambda s: ~s.startswith("learned:"))
     return found.select(
         "doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")
@@ -60,7 +78,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format, op8_secret_scan, op10_license_scan)}
+    op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
+    op8_secret_scan, op10_license_scan)}
 
 
 def _mixing_sql() -> str:
