@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
+from millrace.llm import chat, classifier, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    found = classifier.quality_scores(table(spark, sf_dir, "documents"), labels)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_notices(table(spark, sf_dir, "documents"))
     return found.select(
@@ -79,7 +87,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
-    op8_secret_scan, op10_license_scan)}
+    op8_secret_scan, op9_quality_score, op10_license_scan)}
 
 
 def _mixing_sql() -> str:
