@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, classifier, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
+from millrace.llm import chat, classifier, leaks, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_mixing, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
+    op1_near_dedup, op2_mixing, op3_decontamination, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
     op8_secret_scan, op9_quality_score, op10_license_scan)}
 
 
