@@ -85,6 +85,32 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wo
     return map_rows(wanted, make, "id long, s array<long>")
 
 
+def unsettled(live: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The buckets (key, id) with members of two components or more."""
+    rest = scratch.save(live.join(comp, "id"))
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return scratch.save(rest.join(scratch.save(mixed), "key").select("key", "id"))
+
+
+def with_partners(live: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Leaves the members of buckets that can still have a link there.
+
+    Shingles that no other live set holds are shared with nobody, which bounds a set's similarity to all sets at least as
+    large as the bucket's smallest. Copies that edits have moved too far go here, without being compared with each other.
+    """
+    ids = scratch.save(live.select("id").distinct())
+    mine = sets.join(ids, "id")
+    alone = mine.select("id", F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    alone = alone.where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = mine.groupBy("id").agg(F.count("*").alias("texts"), F.min(F.size("s")).cast("long").alias("n"))
+    most = F.when(F.col("texts") > 1, F.col("n")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0)))
+    bounds = scratch.save(sizes.join(alone, "id", "left").select("id", "n", most.alias("most")))
+    members = scratch.save(live.join(bounds, "id"))
+    least = scratch.save(members.groupBy("key").agg(F.min("n").alias("least")))
+    union = F.col("n") + F.greatest("least", "most") - F.col("most")
+    return members.join(least, "key").where(F.col("most") * 10_000 >= union * round(threshold * 10_000)).select("key", "id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -98,8 +124,9 @@ def near_duplicates(
     Equal sets are one class, found by fingerprint. Of the classes, bands of SetSketch registers give candidate buckets
     (a pair at the threshold is missed with a probability of 1e-6), the joint likelihood estimate drops candidates far
     below the threshold, and full sets decide. A bucket's pairs are never written out: its smallest members are compared
-    with the rest, links contract components, and only rows of other components are compared with the next members
-    (1, 4, 16, ... a round), until each bucket is one component or all its pairs have been compared.
+    with the rest, links contract components, members that can have no link are dropped, and only rows of other components
+    are compared with the next members (1, 4, 16, ... a round), until each bucket is one component or all its pairs have
+    been compared.
     """
     spark = docs.sparkSession
     rows, count = banding(threshold)
@@ -133,9 +160,9 @@ def near_duplicates(
             links = scratch.save(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
             moved = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
             comp = scratch.save(comp.join(moved, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")))
-            rest = scratch.save(live.join(chosen.select("key", "id"), ["key", "id"], "left_anti").join(comp, "id"))
-            mixed = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            live = scratch.save(rest.join(scratch.save(mixed), "key").select("key", "id"))
+            live = unsettled(live.join(chosen.select("key", "id"), ["key", "id"], "left_anti"), comp, scratch)
+            if not live.isEmpty():
+                live = unsettled(with_partners(live, sets, threshold, scratch), comp, scratch)
             pivots *= 4
         lone = known.select("id", "f", "g").join(comp, "id").where("comp != id").select("f", "g", "comp")
         copies = classes.join(comp, classes.rep == comp.id, "left").select("f", "g", F.coalesce("comp", "rep").alias("comp"))
