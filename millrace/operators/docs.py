@@ -82,10 +82,10 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def html_text(c: str | Column, every_entity: bool = False) -> Column:
+def html_text(c: str | Column, every_entity: bool = True) -> Column:
     """Visible text of a page: no script, style, nav, footer, comment or tag; entities decoded; spaces collapsed.
 
-    The common entities are replaced by built-in functions; ``every_entity`` decodes the complete set in an Arrow UDF.
+    All entities are decoded, in an Arrow UDF; with ``every_entity=False`` only the common ones, by built-in functions.
     """
     out = _col(c)
     for tag in DROPPED_TAGS:
@@ -120,9 +120,16 @@ def preview(c: str | Column, n: int = PREVIEW_CHARS) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def analysis_request(c: str | Column, instruction: str = INSTRUCTION, limit: int = REQUEST_CHARS) -> Column:
-    """Instruction followed by the document, which the service takes up to ``limit`` characters of."""
-    return F.concat(F.lit(instruction), F.substring(_col(c), 1, limit))
+def analysis_requests(
+    df: DataFrame, key: str, text: str, instruction: str = INSTRUCTION, limit: int = REQUEST_CHARS
+) -> DataFrame:
+    """(key, part, request): the instruction followed by consecutive parts of a document of at most ``limit`` characters,
+    the most a service takes at once; part 0 alone for short and empty texts, none for a null text."""
+    text = F.col(text)
+    last = F.greatest(F.lit(0), F.ceil(F.length(text) / limit).cast("int") - 1)
+    parts = df.where(text.isNotNull()).select(key, text.alias("_text"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    request = F.concat(F.lit(instruction), F.substring(F.col("_text"), F.col("part") * limit + 1, F.lit(limit)))
+    return parts.select(key, "part", request.alias("request"))
 
 
 def enrich(

@@ -45,9 +45,9 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def hash_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Mark rows ``train`` or ``test`` from a hash of key and seed. The same row always lands on the same side,
     whatever the partitioning; the fraction is met approximately (in steps of 1/65536)."""
-    threshold = f"{round(test_fraction * 65536):04x}"
     digest = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 4)
-    return df.withColumn("side", F.when(digest < threshold, "test").otherwise("train"))
+    below = F.conv(digest, 16, 10).cast("int") < round(test_fraction * 65536)
+    return df.withColumn("side", F.when(below, "test").otherwise("train"))
 
 
 @dataclass(frozen=True)

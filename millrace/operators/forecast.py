@@ -47,13 +47,11 @@ def prepare(
     return Prepared(sides["train"], sides["test"], scale)
 
 
-def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS, holdout: float = HOLDOUT) -> Mapping:
-    """One fitted model per horizon. The last ``holdout`` share of the samples is kept out for tuning."""
+def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS) -> Mapping:
+    """One fitted model per horizon, from all samples."""
     if kind == "persistence":
         return {}
-    n = train.agg(F.count("*")).scalar()
-    kept = train.filter(F.col("sample") < F.floor(n * F.lit(1 - holdout)))
-    rows = kept.withColumn("features", array_to_vector("window")).persist()
+    rows = train.withColumn("features", array_to_vector("window")).persist()
     try:
         def run(h):
             return h, KINDS[kind]().setLabelCol(f"label_{h}").fit(rows)
@@ -87,6 +85,16 @@ def predict_horizons(
     return rows.select("sample", F.inline(F.array(*cells)))
 
 
+def holdout_metrics(
+    prepared: Prepared, kinds: Sequence[str], horizons: Sequence[int] = HORIZONS, holdout: float = HOLDOUT
+) -> DataFrame:
+    """Errors of each kind on the last ``holdout`` share of the training samples, fitted on those before."""
+    n = prepared.train.agg(F.count("*")).scalar()
+    early = F.col("sample") < F.floor(n * F.lit(1 - holdout))
+    parts = Prepared(prepared.train.filter(early), prepared.train.filter(~early), prepared.scale)
+    return horizon_metrics(run_kinds(parts, kinds, horizons), ["model"])
+
+
 def forecast(
     train: DataFrame, test: DataFrame, kind: str, scale: MinMaxScale | None = None,
     horizons: Sequence[int] = HORIZONS,

@@ -89,7 +89,7 @@ def rbf_regress(
 
 # name -> (needs scaled features, fit-and-predict)
 MODELS: dict[str, tuple[bool, Callable[..., DataFrame]]] = {
-    "linear": (True, lambda tr, te, f, y, key, **o: _fit_predict(linear(), tr, te, f, y)[0]),
+    "linear": (True, lambda tr, te, f, y, key: _fit_predict(linear(), tr, te, f, y)[0]),
     "knn": (True, lambda tr, te, f, y, key, **o: knn_regress(tr, te, f, y, key, **o)),
     "tree": (False, lambda tr, te, f, y, key, **o: _fit_predict(tree(**o), tr, te, f, y)[0]),
     "forest": (False, lambda tr, te, f, y, key, **o: _fit_predict(forest(**o), tr, te, f, y)[0]),

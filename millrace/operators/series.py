@@ -107,9 +107,10 @@ def grid_return(
     """Return against the previous date of the whole grid instead of the key's own previous row.
 
     Without ``pad`` a key missing on the previous grid date has no return; the output has the priced rows.
-    With ``pad`` gaps repeat the last price, and the output has every grid date from the key's first price on.
+    Timestamps count by their date. With ``pad`` gaps repeat the last price, and the output has every grid date from the key's first price on.
     No date x key product is formed: prices look up their previous grid date, or fill their own gap.
     """
+    df = df.withColumn(order, F.col(order).cast("date"))
     prices = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
     grid = date_grid(df, order)
     dated = prices.join(grid, order)

@@ -204,10 +204,18 @@ def text_copies(df: DataFrame, id: str, text: str) -> DataFrame:
     return groups.agg(F.min(id).alias(id), F.count("*").alias("n_copies")).drop("_h")
 
 
+def copy_groups(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, representative) for every row: the lowest id with the same text, under which ``cosine_pairs`` compares it."""
+    hashed = df.select(id, F.sha2(F.coalesce(text, F.lit("")), 256).alias("_h"))
+    lowest = cut_lineage(hashed.groupBy("_h").agg(F.min(id).alias("representative")))
+    return cut_lineage(hashed).join(lowest, "_h").select(id, "representative")
+
+
 def cosine_pairs(df: DataFrame, id: str, text: str, min_score: float = 0.5) -> DataFrame:
     """(a, b, n_a, n_b, score): all pairs of distinct texts with cosine of at least ``min_score``.
 
-    Identical texts are one row with their number of copies, so a text copied a million times is compared once.
+    Identical texts are one row with their number of copies, so a text copied a million times is compared once;
+    ``copy_groups`` says which rows they are.
     The similarity join is exact. Terms are taken in order of rising document frequency; a document's head ends once
     the rest is shorter than half of ``min_score``. Joining heads with whole documents gives a partial score, and only
     pairs whose partial score plus the length of the rest reaches ``min_score`` look at the rest, which holds the most

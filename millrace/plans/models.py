@@ -42,7 +42,7 @@ def prepared(spark, sf):
 
 
 def sides(spark, sf):
-    rows = spread(cut_lineage(prepared(spark, sf)))
+    rows = spread(cut_lineage(prepared(spark, sf)), "id")
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
@@ -188,7 +188,7 @@ def model_comparison(spark, sf):
 # --- clustering -------------------------------------------------------------------------------------------
 
 def scaled_workouts(spark, sf):
-    rows = spread(workouts(spark, sf))
+    rows = spread(workouts(spark, sf), "id")
     return features.StandardScale.fit(rows, SCALED).transform(rows).select("id", *SCALED)
 
 

@@ -308,6 +308,24 @@ def forecast_comparison(spark, sf):
     return forecast.forecast_comparison(forecast.run_kinds(prepared(spark, sf), ["persistence", "linear", "forest", "gbt"]))
 
 
+HOLDOUT_FORECAST = f"""{SCALED}, t as (select price, row_number() over (order by row_index) - 1 as row_index, count(*) over () as m
+    from split where side = 'train'), s as ({sequence_sql('t', 'price', 'm')}),
+    f as (select h as horizon, win[60] as forecast, case h when 1 then label_1 when 3 then label_3 else label_7 end
+    as actual from s, (values (1), (3), (7)) as v(h) where sample < n - 67 and sample >= floor((n - 67) * 0.9))"""
+
+
+@query("forecast_holdout", f"""with {HOLDOUT_FORECAST} select 'persistence' as model, horizon, round(avg(abs(actual - forecast)), 6) as mae,
+    round(sqrt(avg((actual - forecast) ** 2)), 6) as rmse from f group by horizon""")
+def forecast_holdout(spark, sf):
+    out = forecast.holdout_metrics(prepared(spark, sf), ["persistence"])
+    return r6(out.select("model", "horizon", "mae", "rmse"), "mae", "rmse")
+
+
+@query("forecast_holdout_linear")
+def forecast_holdout_linear(spark, sf):
+    return forecast.holdout_metrics(prepared(spark, sf), ["linear"])
+
+
 @query("forecast_latest")
 def forecast_latest(spark, sf):
     rows = indexed(spark, sf)

@@ -95,14 +95,13 @@ def run_sql(spark, sf):
 
 # --- profiling --------------------------------------------------------------------------------------------
 
-@query("null_counts", """select * from (
-    select 'row_id' as "column", count(*) - count(row_id) as n_null from restaurants_raw
-    union all select 'name', count(*) - count(name) from restaurants_raw
-    union all select 'rate_raw', count(*) - count(rate_raw) from restaurants_raw
-    union all select 'votes', count(*) - count(votes) from restaurants_raw
-    union all select 'cost_raw', count(*) - count(cost_raw) from restaurants_raw)""")
+RAW_COLUMNS = ("row_id", "name", "online_order", "book_table", "rate_raw", "votes", "location", "cuisines", "cost_raw")
+
+
+@query("null_counts", " union all ".join(
+    f"""select '{c}' as "column", count(*) - count({c}) as n_null from restaurants_raw""" for c in RAW_COLUMNS))
 def null_counts(spark, sf):
-    return profile.null_counts(view(spark, sf, "restaurants_raw"), ["row_id", "name", "rate_raw", "votes", "cost_raw"])
+    return profile.null_counts(view(spark, sf, "restaurants_raw"), list(RAW_COLUMNS))
 
 
 @query("row_null_counts", """select row_id, n_null from (select row_id, cast(case when rate_raw is null then 1 else 0 end
@@ -229,10 +228,8 @@ def filter_location(spark, sf):
     when cost > 800 then 'Premium' when cost is not null then 'Mid-Range' end as tier from restaurants)
     where tier is not null group by tier"""))
 def filter_tier(spark, sf):
-    rows = restaurants(spark, sf)
-    parts = [filters.apply_filters(rows, tier=t).withColumn("tier", F.lit(t)) for t in ("Budget", "Mid-Range", "Premium")]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy("tier").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
+    rows = restaurants(spark, sf).withColumn("tier", filters.price_tier("cost")).where("tier is not null")
+    return rows.groupBy("tier").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
 
 
 # --- grouped reports --------------------------------------------------------------------------------------

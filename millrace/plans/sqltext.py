@@ -68,5 +68,6 @@ def page_text(x: str) -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     x = f"regexp_replace({x}, '(?s)<[^>]*>', chr(10), 'g')"
     for name, char in ENTITIES:
-        x = f"replace({x}, {quoted(name)}, {quoted(char)})"
+        # names also count without the semicolon
+        x = f"regexp_replace({x}, {quoted(name + '?')}, {quoted(char)}, 'g')" if name[1] != "#" else f"replace({x}, {quoted(name)}, {quoted(char)})"
     return cleaned(x)

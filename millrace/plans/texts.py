@@ -31,7 +31,8 @@ def r6(df, *columns):
 
 def wide(spark, sf, name):
     """A text table in enough pieces for all cores."""
-    return spread(view(spark, sf, name))
+    key = {"movies": "row_id", "pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}[name]
+    return spread(view(spark, sf, name), key)
 
 
 def stories(spark, sf):
@@ -100,6 +101,12 @@ def cosine_pairs(spark, sf):
     return r6(text.cosine_pairs(stories(spark, sf), "row_id", "storyline", 0.5), "score")
 
 
+@query("copy_groups", """select d.doc_id, representative from documents d join (select min(doc_id) as representative, coalesce(text, '') as t
+    from documents group by 2) g on coalesce(d.text, '') = g.t""")
+def copy_groups(spark, sf):
+    return text.copy_groups(wide(spark, sf, "documents"), "doc_id", "text")
+
+
 @query("title_lookup", """select regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g') as title_key, min(row_id) as row_id
     from movies group by 1""")
 def title_lookup(spark, sf):
@@ -168,9 +175,11 @@ def preview(spark, sf):
     return wide(spark, sf, "documents").select("doc_id", docs.preview("text").alias("preview"))
 
 
-@query("analysis_request", f"select doc_id, concat({q.quoted(docs.INSTRUCTION)}, substring(text, 1, 12000)) as request from documents")
+@query("analysis_request", f"""select doc_id, part::int as part, concat({q.quoted(docs.INSTRUCTION)},
+    substring(text, part * {docs.REQUEST_CHARS} + 1, {docs.REQUEST_CHARS})) as request from (select doc_id, text,
+    unnest(range(greatest(1, (length(text) + {docs.REQUEST_CHARS} - 1) // {docs.REQUEST_CHARS}))) as part from documents where text is not null)""")
 def analysis_request(spark, sf):
-    return wide(spark, sf, "documents").select("doc_id", docs.analysis_request("text").alias("request"))
+    return docs.analysis_requests(wide(spark, sf, "documents"), "doc_id", "text")
 
 
 def _stub_client():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    The written copy survives lost executors. Only a local session without that setting gets a folder of
-    its own; on a cluster a missing setting is an error, since a machine-local folder would lose data.
+    The written copy survives lost executors. Only a local session without that setting uses a
+    folder below its warehouse; on a cluster a missing setting is an error, since a machine-local folder would lose data.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
@@ -54,16 +53,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="millrace-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly when a scan or written copy has fewer splits than the cluster has cores.
+def spread(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Rows dealt into ``parts`` partitions by a hash of their key, the same on every cluster.
 
-    Large tables have many more splits than cores and come back unchanged, without a shuffle. Meant for heavy work
-    per row (texts, model fitting) on tables stored in a few big pieces; pass a scan or a checkpointed frame.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+    Meant for heavy work per row (texts, model fitting) on tables stored in a few big pieces, and for fits that depend on
+    which rows share a partition."""
+    return df.repartition(parts, key)

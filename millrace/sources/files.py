@@ -23,14 +23,26 @@ def decode_utf8(content: str | Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """One row per file: path, extension, supported flag, bytes. Unsupported files are flagged, not dropped.
-    Files of zero bytes have no row: the file source skips them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    The file source skips files of zero bytes; they come from a listing, with no bytes in them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    files = files.unionByName(_empty_files(spark, path, recursive))
     extension = file_extension("path")
     return files.select(
         "path", extension.alias("extension"), extension.isin(*SUPPORTED).alias("supported"), "content"
     )
 
 
+def _empty_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, recursive)
+    names = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith((".", "_")):
+            names.append((status.getPath().toString(), bytearray()))
+    return spark.createDataFrame(names, "path string, content binary")
+
+
 def document_text(files: DataFrame) -> DataFrame:
     """Text of the plain-text files; other supported formats arrive as pieces from the caller's own parser."""
     text = F.when(F.col("extension").isin(*PLAIN), decode_utf8("content"))

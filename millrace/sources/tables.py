@@ -10,11 +10,12 @@ JDBC_BATCH = 1_000
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header row. Pass a schema for large inputs: inference reads the data one more time.
 
-    Quoted line breaks need ``multi_line``; leave it off otherwise, because such files cannot be split.
+    Quoted line breaks are read as part of the text, as ``write_csv`` writes them; such files cannot be split, so
+    parallelism comes from their number. Pass ``multi_line=False`` for splittable files known to have none.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from millrace import functions as fn, sources
-from millrace.operators import clean, docs, filters, forecast, ordering, profile, rollups, series, text
+from millrace.operators import clean, docs, features, filters, forecast, ordering, profile, regress, rollups, series, text
 
 
 def column(df, name="x"):
@@ -237,15 +237,16 @@ def test_html_text(spark):
     page = ("<!DOCTYPE html><html><head><STYLE>p{}</STYLE><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav>"
             "<!-- ad --><p>A &amp;lt; B&nbsp;&copy;</p><br>x&eacute;<footer>end</footer></body></html>")
     df = frame(spark, [page])
-    assert column(df.select(docs.html_text("v").alias("x"))) == ["A &lt; B © x&eacute;"]
-    assert column(df.select(docs.html_text("v", every_entity=True).alias("x"))) == ["A &lt; B © xé"]
+    assert column(df.select(docs.html_text("v", every_entity=False).alias("x"))) == ["A &lt; B © x&eacute;"]
+    assert column(df.select(docs.html_text("v").alias("x"))) == ["A &lt; B © xé"]
 
 
 def test_words_preview_pieces(spark):
     df = frame(spark, ["", " a  b\n", "x" * 1500, "x" * 1501])
     assert column(df.select(docs.word_count("v").alias("x"))) == [0, 2, 1, 1]
     assert [len(v) for v in column(df.select(docs.preview("v").alias("x")))] == [0, 6, 1500, 1503]
-    assert column(df.select(F.length(docs.analysis_request("v", "I:", 3)).alias("x"))) == [2, 5, 5, 5]
+    parts = docs.analysis_requests(frame(spark, ["", "abcdefg", None]), "v", "v", "I:", 3).collect()
+    assert sorted((p.part, p.request) for p in parts) == [(0, "I:"), (0, "I:abc"), (1, "I:def"), (2, "I:g")]
     pieces = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, ""), (1, 4, " ")], "d int, s int, t string")
     assert docs.assemble_pieces(pieces, "d", "s", "t").first()["t"] == "a\nb\n "
     assert docs.assemble_pieces(pieces, "d", "s", "t", skip_blank=True).first()["t"] == "a\nb"
@@ -297,9 +298,9 @@ def test_typed_table_and_append(spark):
 def test_csv_json_snapshot(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", text', None), (2, "line\nbreak", 2.5)], "i int, s string, d double")
     sources.write_csv(df, str(tmp_path / "c"))
-    back = sources.read_table(spark, str(tmp_path / "c"), df.schema, multi_line=True)
+    back = sources.read_table(spark, str(tmp_path / "c"), df.schema)
     assert sorted(back.collect()) == sorted(df.collect())
-    assert sources.read_table(spark, str(tmp_path / "c"), multi_line=True).dtypes == [("i", "int"), ("s", "string"), ("d", "double")]
+    assert sources.read_table(spark, str(tmp_path / "c")).dtypes == [("i", "int"), ("s", "string"), ("d", "double")]
     (tmp_path / "j.json").write_text('[{"a": 1, "b": "x"},\n {"a": 2}]')
     assert sorted(tuple(r) for r in sources.read_json(spark, str(tmp_path / "j.json")).collect()) == [(1, "x"), (2, None)]
     sources.write_snapshot(df, str(tmp_path / "p"))
@@ -329,3 +330,34 @@ def test_index_helpers_survive_partition_counts(spark, prices):
     for n in (1, 32):
         assert sorted(series.pct_change(prices.repartition(n)).collect(), key=str) == want
     assert ordering.ordered_index(prices.repartition(32), ["date", "ticker"]).agg(F.max("row_index")).first()[0] == 7
+
+
+def test_split_shares(spark):
+    df = spark.range(1000)
+    assert features.hash_split(df, "id", 1.0).filter("side = 'test'").count() == 1000
+    assert features.hash_split(df, "id", 0.0).filter("side = 'test'").count() == 0
+
+
+def test_grid_return_of_timestamps(spark):
+    rows = [("a", f"2024-01-0{d} 10:00:00", float(d)) for d in range(1, 6)]
+    prices = spark.createDataFrame(rows, "ticker string, date string, close double").withColumn("date", F.col("date").cast("timestamp"))
+    for pad in (False, True):
+        got = {str(r["date"]): r["grid_return"] for r in series.grid_return(prices, pad=pad).collect()}
+        assert len(got) == 5 and got["2024-01-03"] == 0.5
+
+
+def test_copy_groups(spark):
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, None), (4, ""), (5, "y")], "id long, t string")
+    assert sorted(map(tuple, text.copy_groups(df, "id", "t").collect())) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5)]
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "b.txt").write_text("")
+    got = {r.path.rsplit("/", 1)[-1]: r.text for r in sources.document_text(sources.read_documents(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": "x", "b.txt": ""}
+
+
+def test_unknown_linear_option():
+    with pytest.raises(TypeError):
+        regress.MODELS["linear"][1](None, None, [], "y", "id", depth=3)

@@ -7,9 +7,10 @@ import pytest
 import __spark_entry__ as entry
 from check import ROOT, compare, duck
 
+from millrace.plans import registry
+
 SF = os.environ.get("MILLRACE_SF", "0.001")
-SQL = entry.oracle_sql()
-SLOW = {"gbt_regress", "model_comparison", "forecast_comparison", "forecast_latest"}
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,6 @@ def test_matches_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, f"{ROOT}/sf{SF}"), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_rows_only(spark, name):
     assert entry.queries()[name](spark, f"{ROOT}/sf{SF}").count() > 0
