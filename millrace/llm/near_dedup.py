@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.setsketch import banding, bands, registers, similarity
@@ -15,7 +15,7 @@ from millrace.llm.tables import Scratch, map_rows, small, text_bytes
 from millrace.llm.words import Hasher, mix
 from millrace.session import write_and_read
 
-SLACK = 6  # standard deviations of the joint estimate below the threshold that still go to the exact check
+SLACK = 4.5  # standard deviations of the joint estimate below the threshold that still go to the exact check
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int, count: int) -> DataFrame:
@@ -69,8 +69,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a") + F.size("set_b") - shared
     return (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("set_b")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("s").alias("set_a")), "a")
+        pairs.join(sets.select(F.col("id").alias("id_b"), F.col("s").alias("set_b")), F.col("b") == F.col("id_b"))
+        .join(sets.select(F.col("id").alias("id_a"), F.col("s").alias("set_a")), F.col("a") == F.col("id_a"))
         .where(shared * 10_000 >= union * round(threshold * 10_000))
         .select("a", "b", "comp_a", "comp_b").distinct()
     )
@@ -85,30 +85,38 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wo
     return map_rows(wanted, make, "id long, s array<long>")
 
 
-def unsettled(live: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
-    """The buckets (key, id) with members of two components or more."""
-    rest = scratch.save(live.join(comp, "id"))
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return scratch.save(rest.join(scratch.save(mixed), "key").select("key", "id"))
+def unsettled(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The buckets of a table with key and comp that hold two components or more."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return scratch.save(members.join(scratch.save(mixed), "key"))
+
+
+def enough(most: Column, other_most: Column, n: Column, other_n: Column, threshold: float) -> Column:
+    """Whether two sets that share at most ``most`` and ``other_most`` of their shingles can reach the threshold; true
+    where a size is unknown."""
+    shared = F.least(most, other_most)
+    return F.coalesce(shared * 10_000 >= (n + other_n - shared) * round(threshold * 10_000), F.lit(True))
 
 
 def with_partners(live: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Leaves the members of buckets that can still have a link there.
+    """Leaves the members of buckets that can still have a link there, with ``most`` brought up to date.
 
-    Shingles that no other live set holds are shared with nobody, which bounds a set's similarity to all sets at least as
-    large as the bucket's smallest. Copies that edits have moved too far go here, without being compared with each other.
+    Of the shingles that a set shares with one other live set at most, a partner holds no more than the best such set.
+    This bounds the similarity to all sets at least as large as the bucket's smallest. Copies that edits have moved too
+    far go here, without being compared with each other.
     """
-    ids = scratch.save(live.select("id").distinct())
-    mine = sets.join(ids, "id")
-    alone = mine.select("id", F.explode("s").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    alone = alone.where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = mine.groupBy("id").agg(F.count("*").alias("texts"), F.min(F.size("s")).cast("long").alias("n"))
-    most = F.when(F.col("texts") > 1, F.col("n")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0)))
-    bounds = scratch.save(sizes.join(alone, "id", "left").select("id", "n", most.alias("most")))
-    members = scratch.save(live.join(bounds, "id"))
-    least = scratch.save(members.groupBy("key").agg(F.min("n").alias("least")))
-    union = F.col("n") + F.greatest("least", "most") - F.col("most")
-    return members.join(least, "key").where(F.col("most") * 10_000 >= union * round(threshold * 10_000)).select("key", "id")
+    mine = sets.join(live.select("id").distinct(), "id")
+    held = mine.select("id", F.explode("s").alias("shingle")).groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
+    ends = F.when(F.col("n") == 1, F.array(F.struct(F.col("x").alias("id"), F.lit(None).cast("long").alias("other")))).otherwise(
+        F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("other")), F.struct(F.col("y").alias("id"), F.col("x").alias("other"))))
+    few = held.where("n <= 2").select(F.inline(ends)).groupBy("id", "other").agg(F.count("*").alias("n"))
+    best = F.coalesce(F.max(F.when(F.col("other").isNotNull(), F.col("n"))), F.lit(0))
+    alone = scratch.save(few.groupBy("id").agg((F.sum("n") - best).alias("alone")))
+    members = live.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = scratch.save(members.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("least")))
+    most, least_n = F.col("most"), F.greatest("least", "most")
+    return members.join(least, "key").where(enough(most, most, F.col("n"), least_n, threshold)).select(live.columns)
 
 
 def near_duplicates(
@@ -123,8 +131,8 @@ def near_duplicates(
 
     Equal sets are one class, found by fingerprint. Of the classes, bands of SetSketch registers give candidate buckets
     (a pair at the threshold is missed with a probability of 1e-6), the joint likelihood estimate drops candidates far
-    below the threshold, and full sets decide. A bucket's pairs are never written out: its smallest members are compared
-    with the rest, links contract components, members that can have no link are dropped, and only rows of other components
+    below the threshold, and full sets decide. A bucket's pairs are never written out: its most connected members are
+    compared with the rest, links contract components, members that can have no link are dropped, and only rows of other components
     are compared with the next members (1, 4, 16, ... a round), until each bucket is one component or all its pairs have
     been compared.
     """
@@ -137,20 +145,25 @@ def near_duplicates(
         reps = known.select("id", "f", "g", "keys").join(classes, ["f", "g"], "left").where("rep is null or rep = id")
         keyed = scratch.save(reps.select("id", F.explode("keys").alias("key")))
         shared = scratch.save(keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"))
-        live = scratch.save(keyed.join(shared, "key"))
-        ids = scratch.save(live.select("id").distinct())
-        sets = scratch.save(shingle_sets(docs, ids, id_col, text_col, words))
-        comp = scratch.save(ids.select("id", F.col("id").alias("comp")))
+        met = scratch.save(keyed.join(shared, "key"))
+        # first the members of the most shared buckets: the texts that others are copies of
+        ranks = scratch.save(met.groupBy("id").agg((-F.count("*")).alias("rank")))
+        sets = scratch.save(shingle_sets(docs, ranks.select("id"), id_col, text_col, words))
+        one = F.when(F.count("*") == 1, F.min(F.size("s"))).cast("long")  # unknown for ids with several texts
+        sizes = scratch.save(sets.groupBy("id").agg(one.alias("n")).join(ranks, "id"))
+        live = scratch.save(met.join(sizes, "id").select("key", "id", F.col("id").alias("comp"), "rank", "n", F.col("n").alias("most")))
+        comp = ranks.select("id", F.col("id").alias("comp"))
         checked, pivots = [], 1
         while not live.isEmpty():
-            members = scratch.save(live.join(comp, "id"))
-            first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            chosen = scratch.save(members.withColumn("rank", first).where(F.col("rank") <= pivots).drop("rank"))
-            pairs = (
-                members.withColumnsRenamed({"id": "b", "comp": "comp_b"})
-                .join(chosen.withColumnsRenamed({"id": "a", "comp": "comp_a"}), "key")
-                .where("a < b and comp_a != comp_b").select("a", "b", "comp_a", "comp_b").distinct()
-            )
+            first = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
+            chosen = scratch.save(live.withColumn("place", first).where(F.col("place") <= pivots).drop("place", "rank"))
+            other = live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "most")], F.col("comp").alias("other"))
+            near = enough(F.col("most"), F.col("most_b"), F.col("n"), F.col("n_b"), threshold)
+            a, b = F.struct("comp", "id"), F.struct(F.col("other").alias("comp"), F.col("id_b").alias("id"))
+            swap = F.col("id") > F.col("id_b")
+            pairs = other.join(chosen, "key").where("id != id_b and comp != other").where(near).select(
+                F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")
+            ).selectExpr("a.id as a", "b.id as b", "a.comp as comp_a", "b.comp as comp_b").distinct()
             for old in checked:
                 pairs = pairs.join(old, ["a", "b"], "left_anti")
             pairs = scratch.save(pairs)
@@ -158,17 +171,20 @@ def near_duplicates(
             found = scratch.save(likely(pairs, sketched, threshold))
             links = confirmed(found, sets, threshold)
             links = scratch.save(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
-            moved = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
-            comp = scratch.save(comp.join(moved, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")))
-            live = unsettled(live.join(chosen.select("key", "id"), ["key", "id"], "left_anti"), comp, scratch)
+            live = live.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
+            if not links.isEmpty():
+                moved = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+                comp = scratch.save(comp.join(moved, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")))
+                live = live.drop("comp").join(comp, "id").select(live.columns)
+            live = unsettled(scratch.save(live), scratch)
             if not live.isEmpty():
-                live = unsettled(with_partners(live, sets, threshold, scratch), comp, scratch)
+                live = unsettled(with_partners(live, sets, threshold, scratch), scratch)
             pivots *= 4
         lone = known.select("id", "f", "g").join(comp, "id").where("comp != id").select("f", "g", "comp")
         copies = classes.join(comp, classes.rep == comp.id, "left").select("f", "g", F.coalesce("comp", "rep").alias("comp"))
         labels = scratch.save(lone.union(copies).groupBy("f", "g").agg(F.min("comp").alias("comp")))
         rows_out = sketched.join(labels, ["f", "g"], "left").select(
-            F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")
+            F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("if(id is null, null, coalesce(comp, id))").alias("component_id")
         )
         return write_and_read(rows_out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 

@@ -16,8 +16,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     pre-aggregated in the tasks, and a join between two written tables, whose large partitions Spark splits.
     """
     stars = scratch.save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    while not _all_stars(stars):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.save(both.groupBy("a").agg(F.min("b").alias("low")))
         stars = scratch.save(
@@ -29,7 +28,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             stars.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .union(low.select("a", F.col("low").alias("b"))).distinct()
         )
-        state = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if state == seen:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        seen = state
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node, on which only others hang."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    counted = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return counted.where("below > 1 or below = 1 and above = 1").isEmpty()
