@@ -113,7 +113,7 @@ def with_partners(live: DataFrame, sets: DataFrame, threshold: float, scratch: S
     few = held.where("n <= 2").select(F.inline(ends)).groupBy("id", "other").agg(F.count("*").alias("n"))
     best = F.coalesce(F.max(F.when(F.col("other").isNotNull(), F.col("n"))), F.lit(0))
     alone = scratch.save(few.groupBy("id").agg((F.sum("n") - best).alias("alone")))
-    members = live.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    members = scratch.save(live.join(alone, "id", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))))
     least = scratch.save(members.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("least")))
     most, least_n = F.col("most"), F.greatest("least", "most")
     return members.join(least, "key").where(enough(most, most, F.col("n"), least_n, threshold)).select(live.columns)
