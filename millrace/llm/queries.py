@@ -26,7 +26,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition_rules(table(spark, sf_dir, "documents"))
+    found = quality.repetition_rules(table(spark, sf_dir, "documents"))
+    return found.drop("line_share", "gram_shares")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,4 +165,71 @@ from chats
 """
 
 
-SQL: dict[str, str] = {"op2_mixing": _mixing_sql(), "op5_chat_format": _chat_sql()}
+def _dedup_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{mixing.WORD}') as ws from documents),
+sets as (
+  select doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1),
+    lambda i: array_to_string(ws[i : i + 2], ' '))) as s from words),
+rows_ as (select doc_id, unnest(s) as shingle from sets),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c
+  from rows_ x join rows_ y on x.shingle = y.shingle and x.doc_id < y.doc_id group by 1, 2),
+links as (
+  select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b
+  where 100 * c >= 85 * (len(x.s) + len(y.s) - c)),
+both_ as (select a, b from links union all select b, a from links),
+reached as (
+  select doc_id, doc_id as other from sets union select r.doc_id, e.b from reached r join both_ e on r.other = e.a)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from sets join (select doc_id, min(other) as component_id from reached group by doc_id) using (doc_id)
+"""
+
+
+def _quality_sql() -> str:
+    space = r"[\x20\x09-\x0D]"
+    limits = " ".join(f"when {n} then {quality.MOST_IN_GRAMS[n]!r}" for n in quality.LENGTHS)
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '{mixing.WORD}') as ws
+  from documents),
+lines as (
+  select r, line, count(*) - 1 as again from (select r, unnest(string_split(text, chr(10))) as line from docs)
+  where regexp_matches(line, '{mixing.WORD}') group by r, line having count(*) > 1),
+dup as (
+  select r, sum(again)::bigint as n_dup_lines, sum(again * length(regexp_replace(line, '{space}', '', 'g'))) as line_chars
+  from lines group by r),
+grams as (
+  select r, n, i, array_to_string(ws[i : i + n - 1], ' ') as g
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i
+    from docs, (values {", ".join(f"({n})" for n in quality.LENGTHS)}) as v(n) where len(ws) >= n)),
+marked as (
+  select r, n, i, row_number() over (partition by r, n, g order by i) > 1 as later, count(*) over (partition by r, n, g) > 1 as twice
+  from grams),
+later as (select distinct r, n, unnest(range(i, i + n)) as j from marked where later),
+shares as (
+  select r, n, sum(length(ws[j])) as chars from later join docs using (r) group by r, n),
+twice as (
+  select r, count(distinct j)::bigint as n_repeat_words
+  from (select r, unnest(range(i, i + n)) as j from marked where twice and n = {quality.WINDOW}) group by r),
+base as (
+  select d.r, doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '{space}', '', 'g'))::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(line_chars, 0) as line_chars,
+    len(ws) < {quality.FEWEST_WORDS} or 100 * coalesce(n_repeat_words, 0) > {quality.MOST_REPEATED} * len(ws) as base_failed
+  from docs d left join dup using (r) left join twice using (r)),
+bad as (
+  select distinct r from shares join base using (r) where chars::double / word_chars > (case n {limits} end)::double)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and line_chars::double / greatest(word_chars, 1) <= {quality.MOST_IN_LINES}
+  and n_symbols <= {quality.MOST_SYMBOLS} * n_words and r not in (select r from bad) as kept
+from base
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_near_dedup": _dedup_sql(), "op2_mixing": _mixing_sql(), "op4_quality_rules": _quality_sql(), "op5_chat_format": _chat_sql(),
+}
