@@ -50,7 +50,7 @@ def compare(df, con, sql):
             a == b or (a[0] == b[0] == 1 and abs(a[1] - b[1]) <= 1e-9 * max(1.0, abs(a[1]))) for a, b in zip(g, w)
         ):
             return f"{g} vs {w}"
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
     spark_types = dict(df.dtypes)
     for name, kind in ((d[0], str(d[1])) for d in cur.description):
         if kinds.get(kind, kind) != spark_types[name]:
