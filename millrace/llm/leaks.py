@@ -5,6 +5,9 @@ walk's place and moves on by a random bit that depends on j and the word. Sequen
 a small Hamming distance, since two walks that an edit has parted soon meet again. Bit sampling, the words at a few random
 steps, is then a locality-sensitive key. Windows of the documents and items meet in any of several repetitions, and an
 exact edit distance decides.
+
+A long item is keyed by segments that cover it: of edits up to a share of the item's words, some segment has no more than
+that share of its own words. So walk lengths and window spacings stay small whatever an item's length.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from millrace.llm.words import SPACES, Hasher, byte_table, mix, spans
 EDITS = 0.2  # most edits, as a share of an item's words
 SAMPLES = 3  # sampled steps in a key
 REPEATS = 48  # keys; with them passages with a fifth of their words edited are found with a recall above 0.99 (see the tests)
-GROWTH = 1.25  # an item class holds lengths up to this factor
+GROWTH = 1.25  # a class of segments holds lengths up to this factor
+SEGMENT = 16  # most words of a segment
 BLOCK = 5_000  # items at a time
 WORDS = byte_table(bytes(c for c in range(256) if WORD_MAP[c] not in SPACES))
 BITS = 18
@@ -72,41 +76,43 @@ class Items:
         self.quick = np.zeros(1 << BITS, bool)
         self.quick[self.pairs >> np.uint64(64 - BITS)] = True
         self.classes = []
-        left = sorted((i for i, w in enumerate(self.words) if len(w)), key=lambda i: (len(self.words[i]), i))
+        left = sorted(
+            ((i, a, b) for i, w in enumerate(self.words) for a, b in segments(len(w))), key=lambda x: (x[2] - x[1], *x))
         while left:
-            longest = len(self.words[left[0]]) * GROWTH
-            alike = [i for i in left if len(self.words[i]) <= longest]
+            longest = (left[0][2] - left[0][1]) * GROWTH
+            alike = [x for x in left if x[2] - x[1] <= longest]
             left = left[len(alike):]
             self.classes.append(self._class(alike))
+        flat, ends = padded(self.words)
+        begin = ends - [len(w) for w in self.words] if len(self.words) else ends
         seeds = mix(np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        self.tables = [(seed, self._tables(number, seed)) for number, seed in enumerate(seeds)]
+        self.tables = [(seed, self._tables(number, seed, flat, begin)) for number, seed in enumerate(seeds)]
 
     def most(self, i: int) -> int:
         return int(self.edits * len(self.words[i]) + 1e-9)
 
-    def _class(self, members: list[int]) -> dict:
-        """Items of like length: window spacing, walk length, filter width and the fewest neighbours a match keeps: an
+    def _class(self, members: list[tuple[int, int, int]]) -> dict:
+        """Segments of like length: window spacing, walk length, filter width and the fewest neighbours a match keeps: an
         edit parts at most two pairs of neighbouring words."""
-        fewest = min(len(self.words[i]) - 1 - 2 * self.most(i) for i in members)
-        sizes = [len(self.words[i]) for i in members]
+        sizes = [b - a for _, a, b in members]
+        most = [int(self.edits * n + 1e-9) for n in sizes]
+        fewest = min(n - 1 - 2 * e for n, e in zip(sizes, most))
         stride, steps = max(1, min(sizes) // 8), min(STEPS, 2 * min(sizes))
-        width = max(sizes) + max(map(self.most, members)) + stride
-        flat, _ = padded([self.words[i] for i in members])
-        starts = np.cumsum([0, *(n + STEPS for n in sizes[:-1])]) + STEPS
-        return {"members": members, "stride": stride, "steps": steps, "width": width, "fewest": fewest, "flat": flat, "starts": starts}
+        width = max(sizes) + max(most) + stride
+        return {"members": [(i, a) for i, a, _ in members], "stride": stride, "steps": steps, "width": width, "fewest": fewest}
 
-    def _tables(self, number: int, seed: np.uint64) -> list[tuple]:
-        """For each class the sampled steps, the keys after each, and the items of the last keys."""
+    def _tables(self, number: int, seed: np.uint64, flat: np.ndarray, begin: np.ndarray) -> list[tuple]:
+        """For each class the sampled steps, the keys after each, and the segments (item, first word) of the last keys."""
         out = []
         for c in self.classes:
             draw = np.random.default_rng((number, c["steps"]))
             count = min(SAMPLES, c["steps"])
             cuts = [c["steps"] * i // count for i in range(count + 1)]
             at = [int(draw.integers(x, y)) for x, y in zip(cuts, cuts[1:])]
-            _, seen = walk(c["flat"], seed, c["starts"], at)
-            keys: dict[int, list[int]] = {}
-            for i, key in zip(c["members"], seen[-1].tolist()):
-                keys.setdefault(key, []).append(i)
+            _, seen = walk(flat, seed, np.array([begin[i] + a for i, a in c["members"]]), at)
+            keys: dict[int, list[tuple[int, int]]] = {}
+            for member_, key in zip(c["members"], seen[-1].tolist()):
+                keys.setdefault(key, []).append(member_)
             out.append((at, [np.unique(s) for s in seen], keys))
         return out
 
@@ -131,8 +137,9 @@ class Items:
                 left, seen = walk(words, seed, starts, at, prefixes)
                 for start, key in zip(left.tolist(), seen[-1].tolist()):
                     text = int(np.searchsorted(ends, start, "right"))
-                    place = start - int(ends[text] - len(texts[text])) if text < len(texts) else 0
-                    for item in keys[key] if text < len(texts) else ():
+                    first = start - int(ends[text] - len(texts[text])) if text < len(texts) else 0
+                    for item, offset in keys[key] if text < len(texts) else ():
+                        place = first - offset
                         before = tried.setdefault((text, item), [])
                         if all(abs(place - b) > self.most(item) for b in before):
                             before.append(place)
@@ -143,12 +150,22 @@ class Items:
         if item in found and not found[item][0]:
             return
         size, most = len(self.words[item]), self.most(item)
-        low = max(0, start - 2 * most - stride)
-        edits, a, b = best_match(self.words[item], words[low : max(low, start + size + 3 * most + stride)])
+        # the place is where the item would begin without edits before the segment; one up to ``most`` away stands for it
+        low = max(0, start - 3 * most - 2 * stride)
+        region = words[low : max(low, start + size + 4 * most + 2 * stride)]
+        if member(neighbours(self.words[item]), np.sort(neighbours(region))).sum() < size - 1 - 2 * most:
+            return
+        edits, a, b = best_match(self.words[item], region)
         if edits <= most and (item not in found or edits < found[item][0]):
             found[item] = (edits, low + a, b - a)
 
 
+def segments(size: int) -> list[tuple[int, int]]:
+    """Starts and ends of the parts of nearly equal length, at most ``SEGMENT``, that cover so many words."""
+    count = -(-size // SEGMENT)
+    return [(size * i // count, size * (i + 1) // count) for i in range(count)]
+
+
 def neighbours(words: np.ndarray) -> np.ndarray:
     """Hashes of the pairs of neighbouring words."""
     return mix(words[:-1] + words[1:] * np.uint64(0xD6E8FEB86659FD93))

@@ -93,6 +93,21 @@ def test_leak_recall():
     assert np.mean([any(x[0] == i for x in f) for f, i in zip(found, want)]) >= 0.98
 
 
+@pytest.mark.parametrize("size", [60, 100, 300, 1000])
+def test_leak_recall_of_long_items(size):
+    """A fifth of the words edited at random or cut from either end, far past the first words of the item."""
+    draw, hasher, most = random.Random(size), Hasher(), size // 5
+    items = [[f"w{draw.randrange(3000)}" for _ in range(size)] for _ in range(8)]
+    table = leaks.Items([" ".join(i) for i in items])
+    for change in (lambda x: x, lambda x: edited(draw, x, most), lambda x: x[most:], lambda x: x[:-most]):
+        docs = []
+        for k in range(24):
+            around = [f"x{draw.randrange(500)}" for _ in range(draw.randrange(40, 80))]
+            docs.append(leaks.tokens(" ".join([*around[:30], *change(items[k % 8]), *around[30:]]).encode(), hasher))
+        found = table.find(docs)
+        assert np.mean([any(x[0] == k % 8 for x in f) for k, f in enumerate(found)]) >= 0.95
+
+
 def test_leaks_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     docs = spark.createDataFrame(
