@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os.path
 from collections.abc import Iterable
 
 END = ""  # the symbol of stopping
@@ -23,6 +24,10 @@ class Automaton:
     """States with counts of next symbols; ``score`` is a log-likelihood ratio against ordinary text."""
 
     def __init__(self, strings: Iterable[str], alpha: float = 0.05):
+        strings = list(strings)
+        self.literal = os.path.commonprefix(strings)
+        self.symbols = set("".join(strings))
+        self.steps: dict[tuple[int, str], tuple[float, int]] = {}
         self.counts: list[dict[str, int]] = [{}]
         self.next: list[dict[str, int]] = [{}]
         for string in strings:
@@ -99,6 +104,37 @@ class Automaton:
                 break
         return total
 
+    def _step(self, state: int, symbol: str) -> tuple[float, int]:
+        """What a symbol adds to the score, and the next state."""
+        if (state, symbol) not in self.steps:
+            after = state
+            if symbol != END and self.next[state]:
+                usual = max(self.next[state], key=lambda x: (self.counts[state][x], x))
+                after = self.next[state].get(symbol, self.next[state][usual])
+            self.steps[state, symbol] = math.log(self._share(state, symbol)) - math.log(ordinary(symbol)), after
+        return self.steps[state, symbol]
+
+    def best_part(self, string: str, starts: set[int], ends: set[int], shortest: int) -> tuple[float, int, int] | None:
+        """(score, start, end) of the part with the highest score of those long enough, in one pass: of the parts that
+        are in the same state only the best goes on."""
+        live: dict[int, tuple[float, int]] = {}
+        best = None
+        for i, symbol in enumerate([*string, END]):
+            if i in ends:
+                for state, (total, begin) in live.items():
+                    found = (total + self._step(state, END)[0], begin, i)
+                    if i - begin >= shortest and (best is None or found[0] > best[0]):
+                        best = found
+            if i in starts and live.get(0, (-1.0, 0))[0] < 0:
+                live[0] = (0.0, i)
+            on: dict[int, tuple[float, int]] = {}
+            for state, (total, begin) in live.items() if symbol != END else ():
+                more, after = self._step(state, symbol)
+                if total + more >= -40 and (after not in on or total + more > on[after][0]):
+                    on[after] = (total + more, begin)
+            live = on
+        return best
+
     def _share(self, state: int, symbol: str) -> float:
         counts = self.counts[state]
         seen = sum(counts.values())

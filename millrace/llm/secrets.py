@@ -27,6 +27,7 @@ HEX_BYTES = byte_table(b"0123456789abcdef")
 TOKEN_BYTES = byte_table((string.ascii_letters + string.digits + "+/_.=-").encode())
 DIGIT_BYTES = byte_table(string.digits.encode())
 LETTER_BYTES = byte_table(string.ascii_letters.encode())
+JOINS = set("=/.-_+")  # characters of a run that may stand between a name, a path or a sentence and a credential
 LEADS = byte_table(bytes(range(0x80, 0xC0)), inverted=True)
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
@@ -59,6 +60,12 @@ def learn(count: int = 150) -> list[Automaton]:
     return [Automaton(labelled(f, count, name)) for name, f in FORMATS.items()]
 
 
+def mixed(run: str) -> bool:
+    """Long enough for a credential, with a letter and a digit."""
+    data = np.frombuffer(run.encode(), np.uint8)
+    return len(run) >= SHORTEST["learned"] and bool(DIGIT_BYTES[data].any() and LETTER_BYTES[data].any())
+
+
 class Scanner:
     """Finds the spans of one text; offsets count code points, ends are exclusive."""
 
@@ -79,13 +86,44 @@ class Scanner:
         long = np.flatnonzero(ends - starts >= SHORTEST["learned"])
         base = list(found)
         for s, e in zip(starts[long].tolist(), ends[long].tolist()):
-            token = text[s:e]
-            if not (DIGIT_BYTES[data[s:e]].any() and LETTER_BYTES[data[s:e]].any()) or any(x < e and s < y for x, _, y in base):
-                continue
-            if any(a.score(token.decode()) >= self.margin for a in self.automata):
+            token = text[s:e].decode()
+            over = sorted((max(x, s) - s, min(y, e) - s) for x, _, y in base if x < e and s < y)
+            if not over and mixed(token) and any(a.score(token) >= self.margin for a in self.automata):
                 found.append((s, 3, e))
+                continue
+            at = 0
+            for x, y in [*over, (e - s, e - s)]:
+                found += [(s + at + a, 3, s + at + b) for a, b in self.parts(token[at:x])] if x > at else []
+                at = max(at, y)
         return sorted(found)
 
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """Non-overlapping parts of a run that beat the margin, the best first taken."""
+        todo, found = [(0, len(run))], []
+        while todo:
+            low, high = todo.pop()
+            part = run[low:high]
+            best = max(filter(None, (self._part(a, part) for a in self.automata)), default=None) if mixed(part) else None
+            if best:
+                found.append((low + best[1], low + best[2]))
+                todo += [(low, low + best[1]), (low + best[2], high)]
+        return found
+
+    def _part(self, automaton: Automaton, run: str) -> tuple[float, int, int] | None:
+        """The automaton's best part. Parts cut only at characters its credentials do not hold go first, so that
+        a credential with such characters stays whole."""
+        literal, at = automaton.literal, -1
+        first = set()
+        while len(literal) > 2 and (at := run.find(literal, at + 1)) >= 0:
+            first.add(at)
+        for joins in (JOINS - automaton.symbols, JOINS):
+            starts = {0, *first, *(i + 1 for i, x in enumerate(run) if x in joins)}
+            ends = {len(run), *(i for i, x in enumerate(run) if x in joins)}
+            best = automaton.best_part(run, starts, ends, SHORTEST["learned"])
+            if best and best[0] >= self.margin and mixed(run[best[1] : best[2]]):
+                return best
+        return None
+
     def scan(self, text: bytes) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
         found = self.bytes_found(text)
@@ -108,7 +146,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base kinds are ``assign``, ``access`` and ``hex`` (leftmost non-overlapping matches of each, those too short dropped;
     kinds may overlap each other). ``learned`` are runs of token characters with a letter and a digit, outside base spans, whose
-    likelihood under an automaton learned from labelled credentials beats ordinary text by a margin. Null and empty texts
+    likelihood under an automaton learned from labelled credentials beats ordinary text by a margin; of other runs, the best
+    parts that do, between ``JOINS`` or from a credential's first characters. Null and empty texts
     have no spans; null ids and repeated rows are scanned like any other.
     """
     automata = learn(count)
