@@ -31,6 +31,10 @@ NOTICES = {
     "released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+# Names as (exact start, rest, label, most errors); a start of three letters has near misses such as "emit".
+NAMES = [
+    ("mit ", "license", "mit", 1), ("", "apache license", "apache", 1), ("", "general public license", "gpl", 2),
+]
 ERRORS = 0.1  # most errors, as a share of a notice's characters
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 SCHEMA = (
@@ -65,6 +69,18 @@ class Finder:
         for part, places in found.items():
             self.seeds.add_word(part, (len(part), places))
         self.seeds.make_automaton()
+        self.name_seeds, self.names = ahocorasick.Automaton(), []
+        found = {}
+        for start, rest, label, k in NAMES:
+            for spelt in (0, 1):  # with "licence" one error more is counted
+                text = rest.replace("license", "licence") if spelt else rest
+                pattern = regex.compile(rf"(?b)(?<![^ ]){regex.escape(start)}(?:{regex.escape(text)}){{e<={k}}}(?![^ ])")
+                for offset, part in pieces(text, k + 1):
+                    found.setdefault(part, []).append((len(self.names), len(start) + offset))
+                self.names.append((len(start) + len(text), label, k, spelt, pattern))
+        for part, places in found.items():
+            self.name_seeds.add_word(part, (len(part), places))
+        self.name_seeds.make_automaton()
 
     def base(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(first word, label) of every place of a phrase."""
@@ -96,8 +112,27 @@ class Finder:
         for score, start, end, label in sorted(set(found), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
             if all(end <= s or e <= start for s, e, *_ in kept):
                 kept.append((start, end, label, score))
+        for score, start, end, label in self.misspelt(text):
+            if all(end <= s or e <= start for s, e, *_ in kept):
+                kept.append((start, end, label, score))
         return sorted(kept)
 
+    def misspelt(self, text: str) -> list[tuple[float, int, int, str]]:
+        """(score, start, end, label) of names with errors, whole words only."""
+        windows = {
+            (end + 1 - size - offset, number)
+            for end, (size, places) in self.name_seeds.iter(text) for number, offset in places
+        }
+        found = set()
+        for at, number in windows:
+            length, label, k, spelt, pattern = self.names[number]
+            m = pattern.search(text, max(0, at - k), at + length + 2 * k + 1)
+            errors = sum(m.fuzzy_counts) + spelt if m else 0
+            # the end of the window is no end of a word; an exact phrase is found without this
+            if errors and text[m.end() : m.end() + 1] in ("", " ") and m[0] not in PHRASES:
+                found.add((1 - errors / length, m.start(), m.end(), label))
+        return sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
+
     def find(self, text: bytes) -> tuple:
         words = text.lower().translate(WORD_BYTES).split()
         base = self.base(words)

@@ -254,6 +254,19 @@ def test_licenses_equal_plain_version(spark):
     assert licenses.license_notices(documents(spark, LICENSE_TEXTS).limit(0)).count() == 0
 
 
+def test_misspelt_names():
+    finder = licenses.Finder()
+    for text, label in [
+        ("This is under the MIT Licens", "mit"), ("MIT Licence", "mit"), ("Apache Lisence 2.0", "apache"), ("the Apach License", "apache"),
+        ("GNU General Publik License v3", "gpl"), ("GNU Lesser General Publik License", "lgpl"),
+    ]:
+        *_, labels, score, spans = finder.find(text.encode())
+        assert labels == [label] and 0.8 < score < 1 and len(spans) == 1, text
+    for text in ["permit license", "permit licence", "emit license", "limit licence", "mit silence", "a patchy license", "public license"]:
+        assert finder.find(text.encode())[5] == [], text
+    assert finder.find(b"MIT License")[5:] == (["mit"], 1.0, [])
+
+
 def test_seeds_lose_no_notice():
     """Every notice with as many random errors as allowed is found."""
     draw, finder = random.Random(8), licenses.Finder()
