@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, classifier, leaks, licenses, mixing, near_dedup, pages, quality, secrets, toxicity
+from millrace.llm import chat, classifier, collocations, leaks, licenses, middle, mixing, near_dedup, pages, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,9 +90,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.middle_filled(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_mixing, op3_decontamination, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
-    op8_secret_scan, op9_quality_score, op10_license_scan)}
+    op8_secret_scan, op9_quality_score, op10_license_scan, op12_fill_middle, op13_collocations)}
 
 
 def _mixing_sql() -> str:
@@ -230,6 +242,71 @@ from base
 """
 
 
+def _middle_sql() -> str:
+    draws = ", ".join(f"('0x' || substr(sha256('1:' || coalesce(doc_id::varchar, '')), {8 * i + 1}, 8))::bigint as h{i + 1}" for i in range(4))
+    return f"""
+with cut as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units, {draws}
+  from documents),
+parts as (
+  select doc_id, text, len(units)::bigint as n,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form,
+    array_to_string(units[1 : least(h1 % (len(units) + 1), h2 % (len(units) + 1))], '') as p,
+    array_to_string(units[least(h1 % (len(units) + 1), h2 % (len(units) + 1)) + 1 : greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))], '') as m,
+    array_to_string(units[greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) + 1 :], '') as s
+  from cut)
+select doc_id, n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+def _collocation_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?
+-]')) as p
+  from documents),
+words as (select lang, regexp_extract_all(p, '[^ 	]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, array_to_string(w[i : i], ' ') as x,
+    array_to_string(w[i + 1 : i + k - 1], ' ') as yz, array_to_string(w[i : i + k - 2], ' ') as xy,
+    array_to_string(w[i + k - 1 : i + k - 1], ' ') as z
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3)) as v(k) where len(w) >= k)),
+f as (select lang, k, phrase, any_value(x) as x, any_value(yz) as yz, any_value(xy) as xy, any_value(z) as z, count(*) as a
+  from grams group by lang, k, phrase),
+found as (select * from f where k >= 2 and a >= 10),
+cuts as (
+  select c.lang, c.k, c.phrase, c.a, 1 as cut, l.a as l, r.a as r from found c
+    join f l on l.lang = c.lang and l.k = 1 and l.phrase = c.x join f r on r.lang = c.lang and r.k = c.k - 1 and r.phrase = c.yz
+  union all
+  select c.lang, c.k, c.phrase, c.a, 2, l.a, r.a from found c
+    join f l on l.lang = c.lang and l.k = 2 and l.phrase = c.xy join f r on r.lang = c.lang and r.k = 1 and r.phrase = c.z
+  where c.k = 3),
+scored as (
+  select *, (1000000::hugeint * a * a // (l::hugeint * r))::bigint as score from cuts),
+best as (
+  select * from scored qualify row_number() over (partition by lang, k, phrase order by score, cut) = 1),
+inside as (
+  select lang, part, max(a) as longer from (
+    select lang, xy as part, a from found where k = 3 union all select lang, yz, a from found where k = 3) group by lang, part),
+kept as (
+  select b.* from best b left join inside i on b.k = 2 and i.lang = b.lang and i.part = b.phrase
+  where coalesce(100 * i.longer < 50 * b.a, true)),
+placed as (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select p.lang, p.rank, p.phrase, p.a, p.l, p.r, t.n, p.score from placed p join totals t on t.lang = p.lang where p.rank <= 2000
+"""
+
+
 SQL: dict[str, str] = {
     "op1_near_dedup": _dedup_sql(), "op2_mixing": _mixing_sql(), "op4_quality_rules": _quality_sql(), "op5_chat_format": _chat_sql(),
+    "op12_fill_middle": _middle_sql(), "op13_collocations": _collocation_sql(),
 }

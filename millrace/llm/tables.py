@@ -5,13 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import checkpoint_folder
 
 BROADCAST_ROWS = 1_000_000  # a table of ids with at most this many counted rows (tens of MB) may be broadcast
+SLICE = 4 << 20  # bytes of text that a task turns into Python values at a time
 
 
 class Scratch:
@@ -54,20 +57,46 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose strings and binaries have about ``most`` bytes together, one row at least.
+
+    Arrow batches hold thousands of rows; as Python values, input and output at once, they would take many times that."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | None]], schema: str) -> DataFrame:
     """One output row for each input row through Arrow batches. ``make`` runs once a task and returns the row function,
     which gets the input columns in order and returns the output columns in order (None: no row)."""
+
+    def make_part() -> Callable[..., list[tuple]]:
+        each = make()
+        return lambda *columns: [row for row in map(each, *columns) if row is not None]
+
+    return map_parts(df, make_part, schema)
+
+
+def map_parts(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
+    """The same with a function of whole columns: it gets those of a slice of the rows and returns a list of rows."""
     spark_schema = DataFrameSchema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, kinds = make(), spark_schema.arrow()
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            made = [row for row in map(each, *columns) if row is not None]
-            values = list(zip(*made)) if made else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(v), type=k.type) for v, k in zip(values, kinds)], schema=pa.schema(kinds)
-            )
+            for part in slices(batch):
+                made = each(*[c.to_pylist() for c in part.columns])
+                values = list(zip(*made)) if made else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(v), type=k.type) for v, k in zip(values, kinds)], schema=pa.schema(kinds)
+                )
 
     return df.mapInArrow(run, schema)
 
