@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, classifier, collocations, leaks, licenses, middle, mixing, near_dedup, pages, quality, secrets, toxicity
+from millrace.llm import (
+    chat, classifier, collocations, leaks, licenses, middle, mixing, near_dedup, pages, private, quality, secrets, toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.private_spans(table(spark, sf_dir, "documents"))
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("spans", lambda s: s.startswith(f"{kind}:"))
+
+    base = private.KINDS[:4]
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    fixed = F.filter("spans", lambda s: F.split_part(s, F.lit(":"), F.lit(1)).isin(*base))
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(fixed, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")
+    )
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = middle.middle_filled(table(spark, sf_dir, "documents"))
     return found.select(
@@ -104,7 +120,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_mixing, op3_decontamination, op4_quality_rules, op5_chat_format, op6_toxicity, op7_page_text,
-    op8_secret_scan, op9_quality_score, op10_license_scan, op12_fill_middle, op13_collocations)}
+    op8_secret_scan, op9_quality_score, op10_license_scan, op11_personal_data,
+    op12_fill_middle, op13_collocations)}
 
 
 def _mixing_sql() -> str:
@@ -271,7 +288,8 @@ def _collocation_sql() -> str:
 with pieces as (
   select coalesce(lang, 'und') as lang,
     unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?
--]')) as p
+-
+]')) as p
   from documents),
 words as (select lang, regexp_extract_all(p, '[^ 	]+') as w from pieces),
 totals as (select lang, sum(len(w))::bigint as n from words group by lang),
