@@ -27,12 +27,12 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 IS_BREAK = byte_table(BREAKS)
 IS_WORD = byte_table(BREAKS + b" \t", inverted=True)
 CUT = re.compile(b"[" + re.escape(BREAKS) + b"]")
-CHUNK = 8 << 20  # bytes of text in a chunk
+CHUNK = 4 << 20  # bytes of text in a chunk
 HELD = 4 * CHUNK  # bytes a task holds back for chunks of several languages
 SIDE = 512  # words along a tile
 DENSE = SIDE * SIDE // 8  # pairs of a chunk that make a tile dense
 TILES = 32  # dense tiles a task holds
-LISTED = 2 << 20  # cells of sparse tiles a task holds
+LISTED = 1 << 20  # cells of sparse tiles a task holds
 MOST_ROWS, MOST_BYTES = 1 << 20, 32 << 20  # numbered units that may go to the tasks; beyond, they are joined
 
 
@@ -137,17 +137,17 @@ class PairCounts:
     def full(self) -> bool:
         return len(self.tiles) > self.most or len(self.cells) > self.listed
 
-    def drain(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, second, count) of all pairs held, which are then forgotten."""
+    def drain(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cells (first times size plus second) and counts of all pairs held, which are then forgotten."""
         across = -(-self.size // self.side)
-        firsts, seconds, counts = [self.cells // max(self.size, 1)], [self.cells % max(self.size, 1)], [self.counts]
+        cells, counts = [self.cells], [self.counts]
         for tile, dense in self.tiles.items():
             cell = np.flatnonzero(dense)
-            firsts.append(tile // across * self.side + cell // self.side)
-            seconds.append(tile % across * self.side + cell % self.side)
+            first, second = tile // across * self.side + cell // self.side, tile % across * self.side + cell % self.side
+            cells.append(first * self.size + second)
             counts.append(dense[cell])
         self.tiles, self.cells, self.counts = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(counts)
+        return np.concatenate(cells), np.concatenate(counts)
 
 
 def adjacent(ids: np.ndarray) -> np.ndarray:
@@ -156,13 +156,13 @@ def adjacent(ids: np.ndarray) -> np.ndarray:
 
 
 def counted(level: DataFrame, ids: Callable[[pa.RecordBatch, int], np.ndarray], size: int) -> DataFrame:
-    """(first, second, n) of adjacent units in the chunks; a pair has a row for each task at least."""
+    """(cell, n) of adjacent units in the chunks; a cell may have several rows for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = PairCounts(size)
 
         def drained() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in counts.drain()], names=["first", "second", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in counts.drain()], names=["cell", "n"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -173,11 +173,15 @@ def counted(level: DataFrame, ids: Callable[[pa.RecordBatch, int], np.ndarray],
                     yield drained()
         yield drained()
 
-    return level.mapInArrow(run, "first long, second long, n long")
+    return level.mapInArrow(run, "cell long, n long")
 
 
 def frequent_pairs(level: DataFrame, ids: Callable, size: int, least: int) -> DataFrame:
-    return counted(level, ids, size).groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """(first, second, n) of the pairs of adjacent units that occur ``least`` times or more."""
+    found = counted(level, ids, size).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    wide = F.lit(max(size, 1)).cast("long")
+    first = F.call_function("div", F.col("cell"), wide).alias("first")
+    return found.select(first, (F.col("cell") % wide).alias("second"), "n")
 
 
 def numbered(units: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:

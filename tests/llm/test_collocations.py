@@ -85,8 +85,8 @@ def test_pair_counts_of_tiles_and_lists():
     total = Counter()
 
     def drained():
-        for x, y, n in zip(*(v.tolist() for v in counts.drain())):
-            total[x, y] += n
+        for cell, n in zip(*(v.tolist() for v in counts.drain())):
+            total[divmod(cell, 100)] += n
 
     for at in range(0, 20_000, 2_500):
         counts.add(first[at : at + 2_500], second[at : at + 2_500])
