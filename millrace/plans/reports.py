@@ -95,13 +95,13 @@ def run_sql(spark, sf):
 
 # --- profiling --------------------------------------------------------------------------------------------
 
-RAW_COLUMNS = ("row_id", "name", "online_order", "book_table", "rate_raw", "votes", "location", "cuisines", "cost_raw")
+RAW_NAMES = RAW_COLUMNS.split(", ")
 
 
 @query("null_counts", " union all ".join(
-    f"""select '{c}' as "column", count(*) - count({c}) as n_null from restaurants_raw""" for c in RAW_COLUMNS))
+    f"""select '{c}' as "column", count(*) - count({c}) as n_null from restaurants_raw""" for c in RAW_NAMES))
 def null_counts(spark, sf):
-    return profile.null_counts(view(spark, sf, "restaurants_raw"), list(RAW_COLUMNS))
+    return profile.null_counts(view(spark, sf, "restaurants_raw"), RAW_NAMES)
 
 
 @query("row_null_counts", """select row_id, n_null from (select row_id, cast(case when rate_raw is null then 1 else 0 end
