@@ -8,13 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.session import cut_lineage
 
-# A key is split once it exceeds both this many rows and 1/HOT_SHARE of the table, so there are never more
-# than HOT_SHARE hot keys and the table of their cut points is small whatever the input size.
-HOT_ROWS = 2_000_000
-HOT_SHARE = 1_000
-PIECES = 128
-
-
 def ordered_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Contiguous 0-based position in a total order.
 
@@ -38,93 +31,54 @@ def ordered_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "
     )
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; one small aggregation."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+def _in_order(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows in order of the keys and ``order``, with their place (``_mid``) and partition (``_pid``) of one range shuffle.
 
+    Partitions are ranges of (keys, order), so a key of any size is cut where it has to be and none is known beforehand."""
+    rows = cut_lineage(df.orderBy(*keys, order).withColumn("_mid", F.monotonically_increasing_id()))
+    return rows.withColumn("_pid", F.shiftright("_mid", 33))
 
-def hot_chunks(
-    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE
-) -> tuple[DataFrame, DataFrame]:
-    """Add ``_chunk``: 0 for ordinary keys, an order-preserving piece number for keys with very many rows.
 
-    Returns the chunked frame and the hot keys with their cut points. ``order`` must be numeric, date or timestamp.
-    """
+def _carried(rows: DataFrame, keys: Sequence[str], value: str, skip_nulls: bool) -> DataFrame:
+    """(_pid, _key, _carry): what the first key of a partition inherits from the partitions before it.
+
+    A key goes over a partition's edge only as its first or its last key. Those two report their last value, and a window over
+    these reports, two rows a partition at most, passes it on."""
+    own = F.struct(*keys) if keys else F.struct(F.lit(0))
+    ends = rows.groupBy("_pid").agg(F.min_by(own, "_mid").alias("_head"), F.max_by(own, "_mid").alias("_foot"))
+    edge = rows.join(F.broadcast(ends), "_pid")  # one row per partition
+    edge = edge.withColumn("_key", own).filter(F.col("_key").eqNullSafe(F.col("_head")) | F.col("_key").eqNullSafe(F.col("_foot")))
+    at = F.when(F.col(value).isNotNull(), F.col("_mid")) if skip_nulls else F.col("_mid")
+    opens = F.max(F.col("_key").eqNullSafe(F.col("_head"))).alias("_opens")
+    tails = edge.groupBy("_pid", "_key").agg(F.max_by(value, at).alias("_tail"), opens)
+    before = W.partitionBy("_key").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=skip_nulls).over(before))
+    return carried.filter("_opens").select("_pid", "_key", "_carry")
+
+
+def _scan(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, skip_nulls: bool) -> DataFrame:
     keys = list(keys)
-    limit = F.greatest(F.lit(hot_rows), F.floor(df.agg(F.count("*")).scalar() / hot_share))
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > limit).select(*keys)
-    fractions = [i / PIECES for i in range(1, PIECES)]
-    cuts = (
-        df.select(*keys, order)
-        .join(F.broadcast(hot), keys, "left_semi")  # at most hot_share keys
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(order, fractions, 1_000)).alias("_cuts"))
-    )
-    chunk = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(order))), F.lit(0))
-    chunk = F.when(F.col("_cuts").isNull(), 0).otherwise(chunk)
-    # at most hot_share rows of PIECES values
-    chunked = df.join(F.broadcast(cuts), keys, "left").withColumn("_chunk", chunk).drop("_cuts")
-    return chunked, cuts.select(*keys)
-
-
-def _carry(chunked: DataFrame, hot: DataFrame, keys: list[str], order: str, value: str, skip_nulls: bool) -> DataFrame:
-    """Value each chunk of a hot key inherits from the chunks before it: at most PIECES rows per hot key."""
-    source = chunked.join(F.broadcast(hot), keys, "left_semi")
-    present = F.when(F.col(value).isNotNull(), F.col(order)) if skip_nulls else F.col(order)
-    tails = source.groupBy(*keys, "_chunk").agg(F.max_by(value, present).alias("_tail"))
-    before = W.partitionBy(*keys).orderBy("_chunk")
+    own = F.struct(*keys) if keys else F.struct(F.lit(0))
+    rows = _in_order(df, keys, order)
+    carry = _carried(rows, keys, value, skip_nulls)
+    within = W.partitionBy("_pid", *keys).orderBy("_mid")
     if skip_nulls:
-        carried = F.last("_tail", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1))
+        found = F.last(value, ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
+        open_ = F.col("_within").isNull()
     else:
-        carried = F.lag("_tail").over(before)
-    return tails.select(*keys, "_chunk", carried.alias("_carry"))
+        found = F.lag(value).over(within)
+        open_ = F.col("_first")
+        rows = rows.withColumn("_first", F.row_number().over(within) == 1)
+    scanned = rows.withColumn("_within", found).join(F.broadcast(carry), "_pid", "left")  # one row per partition
+    inherited = F.when(open_ & own.eqNullSafe(F.col("_key")), F.col("_carry")).otherwise(F.col("_within"))
+    return scanned.withColumn(name, inherited).drop("_within", "_first", "_mid", "_pid", "_key", "_carry")
 
 
-def with_previous(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, hot_rows: int = HOT_ROWS,
-    hot_share: int = HOT_SHARE,
-) -> DataFrame:
-    """``lag(value)`` per key along ``order``. Keys are counted first: if none is large a plain window does, otherwise
-    the large ones are cut into pieces."""
-    keys = list(keys)
-    if largest_key(df, keys) <= hot_rows:
-        return df.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
-    chunked, hot = hot_chunks(df, keys, order, hot_rows, hot_share)
-    carry = _carry(chunked, hot, keys, order, value, skip_nulls=False)
-    w = W.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
-        chunked.withColumn("_first", F.row_number().over(w) == 1)
-        .withColumn(name, F.lag(value).over(w))
-        .join(F.broadcast(carry), [*keys, "_chunk"], "left")  # hot keys only
-        .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(name)))
-        .drop("_first", "_carry", "_chunk")
-    )
+def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """``lag(value)`` per key along ``order``, as a segmented scan: a task sees a partition's rows, whatever the sizes of keys."""
+    return _scan(df, keys, order, value, name, skip_nulls=False)
 
 
-def forward_fill(
-    df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str | None = None,
-    hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE,
-) -> DataFrame:
-    """Last non-null value so far per key (or over the whole table when ``keys`` is empty). As in ``with_previous``,
-    only keys that turn out to be large are cut into pieces."""
-    name = name or value
-    whole = not keys
-    if whole:
-        df = df.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    keys = list(keys)
-    if largest_key(df, keys) <= hot_rows:
-        w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        filled = df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-        return filled.drop("_all") if whole else filled
-    chunked, hot = hot_chunks(df, keys, order, hot_rows, hot_share)
-    carry = _carry(chunked, hot, keys, order, value, skip_nulls=True)
-    w = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = (
-        chunked.withColumn("_within", F.last(value, ignorenulls=True).over(w))
-        .join(F.broadcast(carry), [*keys, "_chunk"], "left")  # hot keys only
-        .withColumn(name, F.coalesce("_within", "_carry"))
-        .drop("_within", "_carry", "_chunk")
-    )
-    return filled.drop("_all") if whole else filled
+def forward_fill(df: DataFrame, value: str, order: str, keys: Sequence[str] = (), name: str | None = None) -> DataFrame:
+    """Last non-null value so far per key (or over the whole table when ``keys`` is empty), by the same scan."""
+    return _scan(df, keys, order, value, name or value, skip_nulls=True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.functions import ratio_change
-from millrace.operators.ordering import HOT_ROWS, HOT_SHARE, ordered_index, with_previous
+from millrace.operators.ordering import ordered_index, with_previous
 
 TRADING = ("ticker", "date", "close")
 LOOKBACK = 60
@@ -17,11 +17,10 @@ HORIZONS = (1, 3, 7)
 # --- keyed series -----------------------------------------------------------------------------------------
 
 def pct_change(
-    df: DataFrame, key: str = "ticker", order: str = "date", value: str = "close", name: str = "daily_return",
-    hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE,
+    df: DataFrame, key: str = "ticker", order: str = "date", value: str = "close", name: str = "daily_return"
 ) -> DataFrame:
     """Return against the key's previous row; NULL on the first row. Rows without a key are left out."""
-    rows = with_previous(df.filter(F.col(key).isNotNull()), [key], order, value, "_previous", hot_rows, hot_share)
+    rows = with_previous(df.filter(F.col(key).isNotNull()), [key], order, value, "_previous")
     return rows.withColumn(name, ratio_change(value, "_previous")).drop("_previous")
 
 

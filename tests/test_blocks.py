@@ -29,20 +29,45 @@ def test_ordered_index_is_contiguous_with_ties(spark):
     assert [(r["g"], r["id"]) for r in got] == sorted((i % 3, i) for i in range(1000))
 
 
-def test_previous_in_pieces_equals_plain(ticks):
-    plain = ordering.with_previous(ticks, ["key"], "t", "v", "p")
-    cut = ordering.with_previous(ticks, ["key"], "t", "v", "p", hot_rows=20, hot_share=1000)
-    assert rows(plain, "key", "t", "v", "p") == rows(cut, "key", "t", "v", "p")
+def by_key(pdf, keys, f):
+    """A pandas column computed along t, per key (rows without a key being a key of their own) or over all rows."""
+    pdf = pdf.sort_values("t")
+    return sorted((t, None if v != v else v) for t, v in zip(pdf["t"], f(pdf.groupby("key", dropna=False)["v"] if keys else pdf["v"])))
 
 
 @pytest.mark.parametrize("keys", [["key"], []])
-def test_forward_fill_in_pieces_equals_pandas(ticks, keys):
-    pdf = ticks.toPandas().sort_values("t")
-    want = pdf.groupby("key")["v"].ffill() if keys else pdf["v"].ffill()
-    want = sorted((t, None if v != v else v) for t, v in zip(pdf["t"], want))
-    for hot_rows in (20, 2_000_000):
-        got = ordering.forward_fill(ticks, "v", "t", keys, hot_rows=hot_rows)
-        assert sorted((r["t"], r["v"]) for r in got.collect()) == want
+@pytest.mark.parametrize("parts", [1, 3, 13])
+def test_scans_equal_pandas(spark, ticks, keys, parts):
+    """A key with most rows, keys without values at a partition's edge, rows without a key; few and many partitions."""
+    pdf = ticks.toPandas()
+    pdf.loc[pdf.index[:40], "key"] = None
+    pdf.loc[(pdf["t"] > 300) & (pdf["t"] < 700), "v"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "key string, t int, v double").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        previous = ordering.with_previous(df, keys, "t", "v", "p")
+        assert sorted((r.t, r.p) for r in previous.collect()) == by_key(pdf, keys, lambda g: g.shift())
+        assert previous.columns == ["key", "t", "v", "p"]
+        filled = ordering.forward_fill(df, "v", "t", keys)
+        assert sorted((r.t, r.v) for r in filled.collect()) == by_key(pdf, keys, lambda g: g.ffill())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scan_cuts_a_key_that_holds_all_rows(spark):
+    """One key, twenty thousand rows: no partition holds much more than its share."""
+    df = spark.range(20_000).select(F.lit("one").alias("key"), F.xxhash64("id").alias("t"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ordering._in_order(df, ["key"], "t")
+        shares = [r["count"] for r in placed.groupBy("_pid").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) == 8 and max(shares) < 2 * 20_000 / 8
+    previous = ordering.with_previous(df, ["key"], "t", "v", "p")
+    assert previous.filter("p is null").count() == 1
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "two_values", "tiny"])
