@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import lookup_key
 from millrace.operators.blocks import pair_blocks, salted_lookup
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, write_and_read
 
 # Runs of letters, digits and underscore, as Python's \w sees them.
 WORD = r"[\p{L}\p{N}_]"
@@ -19,6 +20,8 @@ TERM = WORD + r"{2,}"
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 JOIN_BLOCK = 1_000_000  # rows of one term per join task
+BUDGET = 20_000  # posting rows of a query's first wave
+SLACK = 1e-8  # by which bounds are widened: neither rounding nor a tie may drop a document
 
 # Common English function words.
 STOP_WORDS = """
@@ -123,11 +126,15 @@ class TfIdf:
         return F.log(F.lit(1.0 + self.n) / (F.lit(1.0) + F.col("df"))) + 1
 
     def weights(self) -> DataFrame:
-        """(id, term, tf, df, weight): tf x idf, every document scaled to length 1."""
+        """(id, term, tf, df, weight): tf x idf, every document scaled to length 1; written once."""
+        return self._weights
+
+    @cached_property
+    def _weights(self) -> DataFrame:
         # Frequent terms make this join skewed; their rows are spread by document.
         raw = salted_lookup(self.posted, self.terms, "term", "n_rows", self.id).withColumn("_w", F.col("tf") * self.idf)
         carried = [self.copies] if self.copies else []
-        return _unit(raw, self.id, "weight").select(self.id, *carried, "term", "tf", "df", "weight")
+        return write_and_read(_unit(raw, self.id, "weight").select(self.id, *carried, "term", "tf", "df", "weight"))
 
     def transform(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
         """(query_id, term, q) of unseen texts; words the corpus does not have are dropped."""
@@ -135,13 +142,65 @@ class TfIdf:
         raw = asked.join(self.terms, "term").withColumn("_w", F.col("tf") * self.idf)
         return _unit(raw, "query_id", "q").select("query_id", "term", "q")
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, id, score) for every document that shares a term with a query (query_id, term, q)."""
-        sizes = self.terms.select("term", F.col("n_rows").alias("n"))
-        rows = self.weights().select(self.id, "term", "weight")
-        left, right = pair_blocks(rows, queries, ["term"], self.id, "query_id", JOIN_BLOCK, sizes)
-        joined = left.join(right, ["term", "_lb", "_rb"])
-        return joined.groupBy("query_id", self.id).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    def best(
+        self, queries: DataFrame, n: int, exclude_self: bool = False, budget: int = BUDGET, trace: list | None = None
+    ) -> DataFrame:
+        """(query_id, id, score) of every document that can be among the ``n`` best of a query (query_id, term, q), and maybe
+        of some others.
+
+        A term adds at most its largest weight times the query's. A query takes its rarest terms first, about ``budget``
+        posting rows and four times as many in each further wave. Once its n-th best partial score is above all that the other
+        terms can add, no new document can come in, and those terms are only looked up for documents that can still
+        reach that score (the MaxScore bound of Turtle and Flood, 1995). ``trace`` gets the rows of each wave and of the look-up.
+        """
+        weights = self.weights().select(self.id, "term", "weight")
+        asked = queries.join(self.terms.select("term", "n_rows"), "term")
+        peaks = weights.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.max("weight").alias("peak"))
+        rare_first = W.partitionBy("query_id").orderBy("n_rows", "term")
+        before = F.coalesce(F.sum("n_rows").over(rare_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        asked = asked.join(peaks, "term").select(
+            "query_id", "term", "q", "n_rows", (F.col("q") * F.col("peak")).alias("most"), before.alias("before"))
+        # the wave in which the term's turn comes: 0 below the budget, then one more for each factor of four
+        wave = F.greatest(F.lit(0), F.ceil(F.log(4.0, (F.col("before") + 1) / budget)).cast("int"))
+        asked = write_and_read(asked.withColumn("wave", F.when(F.col("before") == 0, 0).otherwise(wave)))
+        last = asked.agg(F.max("wave")).first()[0]
+        found, active = None, asked.select("query_id").distinct()
+        if last is None:
+            return asked.select("query_id", F.lit(None).cast(weights.schema[self.id].dataType).alias(self.id), F.lit(0.0).alias("score"))
+        for turn in range(last + 1):
+            now = asked.filter(F.col("wave") == turn).join(active, "query_id", "left_semi").select("query_id", "term", "q", "n_rows")
+            sizes = now.select("term", F.col("n_rows").alias("n")).distinct()
+            left, right = pair_blocks(weights, now.drop("n_rows"), ["term"], self.id, "query_id", JOIN_BLOCK, sizes)
+            joined = left.join(right, ["term", "_lb", "_rb"])
+            if exclude_self:
+                joined = joined.filter(F.col(self.id) != F.col("query_id"))
+            gained = joined.groupBy("query_id", self.id).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+            if found is not None:
+                gained = found.unionByName(gained).groupBy("query_id", self.id).agg(F.sum("score").alias("score"))
+            found = write_and_read(gained)
+            if trace is not None:
+                trace.append(found.count())
+            place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+            top = found.withColumn("_r", place).filter(F.col("_r") <= n).groupBy("query_id").agg(
+                F.when(F.count("*") == n, F.min("score")).otherwise(0.0).alias("bar"))
+            later = asked.filter(F.col("wave") > turn).join(active, "query_id", "left_semi")
+            state = later.groupBy("query_id").agg(F.sum("most").alias("rest")).join(top, "query_id", "left")
+            state = write_and_read(state.select("query_id", "rest", F.coalesce("bar", F.lit(0.0)).alias("bar"), F.lit(turn).alias("done")))
+            closed = state.filter(F.col("rest") < F.col("bar") - SLACK)
+            settled = closed if turn == 0 else settled.unionByName(closed)
+            active = state.join(closed.select("query_id"), "query_id", "left_anti").select("query_id")
+        # queries that are settled early: the other terms, for the documents that can still be among the best
+        settled = write_and_read(settled)
+        kept = found.join(settled, "query_id", "left").filter(
+            F.col("done").isNull() | (F.col("score") + F.col("rest") >= F.col("bar") - SLACK))
+        kept = write_and_read(kept.select("query_id", self.id, "score", "done"))
+        looked = kept.filter("done is not null").join(asked, "query_id").filter("wave > done").select("query_id", self.id, "term", "q")
+        if trace is not None:
+            trace.append(looked.count())
+        added = looked.join(weights, [self.id, "term"]).groupBy("query_id", self.id).agg(
+            F.sum(F.col("weight") * F.col("q")).alias("_more"))
+        score = F.col("score") + F.coalesce("_more", F.lit(0.0))
+        return kept.join(added, ["query_id", self.id], "left").select("query_id", self.id, score.alias("score"))
 
 
 def tfidf(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -184,7 +243,8 @@ def similar_docs(
     model = model or TfIdf.fit(df, id, text)
     ids = seeds.select(F.col(id).alias("query_id"))
     vectors = model.weights().withColumnsRenamed({id: "query_id", "weight": "q"}).join(ids, "query_id", "left_semi")
-    return _top(model.scores(vectors.select("query_id", "term", "q")), df, ids, id, n, exclude_self=True)
+    return _top(
+        model.best(vectors.select("query_id", "term", "q"), n, exclude_self=True), df, ids, id, n, exclude_self=True)
 
 
 def match_text(
@@ -195,7 +255,7 @@ def match_text(
     taken as it is."""
     model = model or TfIdf.fit(df, id, text)
     ids = queries.select(F.col(query_id).alias("query_id"))
-    return _top(model.scores(model.transform(queries, query_id, query_text)), df, ids, id, n, exclude_self=False)
+    return _top(model.best(model.transform(queries, query_id, query_text), n), df, ids, id, n, exclude_self=False)
 
 
 def text_copies(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -223,7 +283,7 @@ def cosine_pairs(df: DataFrame, id: str, text: str, min_score: float = 0.5) -> D
     """
     lone = df.join(text_copies(df, id, text), id)
     model = TfIdf.fit(lone.select(id, text, "n_copies"), id, text, "n_copies")
-    weights = cut_lineage(model.weights())
+    weights = model.weights()
     common_first = W.partitionBy(id).orderBy(F.desc("df"), F.desc("term"))
     below = F.sum(F.col("weight") * F.col("weight")).over(
         common_first.rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
 from millrace.operators import docs, text
 from millrace.plans import sqltext as q
 from millrace.plans.fixtures import view
-from millrace.session import spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,21 +26,15 @@ def r6(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def wide(spark, sf, name):
-    """A text table in enough pieces for all cores."""
-    key = {"movies": "row_id", "pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}[name]
-    return spread(view(spark, sf, name), key)
-
-
 def stories(spark, sf):
-    return wide(spark, sf, "movies").select("row_id", "title", F.coalesce("storyline", F.lit("")).alias("storyline"))
+    return view(spark, sf, "movies").select("row_id", "title", F.coalesce("storyline", F.lit("")).alias("storyline"))
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------
 
 @query("normalize_text", f"select row_id, {q.normalized('storyline')} as story from movies")
 def normalize_text(spark, sf):
-    return wide(spark, sf, "movies").select("row_id", text.normalize_text("storyline").alias("story"))
+    return view(spark, sf, "movies").select("row_id", text.normalize_text("storyline").alias("story"))
 
 
 STORY = q.normalized("storyline")
@@ -52,18 +43,18 @@ STORY = q.normalized("storyline")
 @query("tokens", f"select row_id, array_to_string({q.token_list(STORY)}, ' ') as tokens from movies")
 def tokens(spark, sf):
     words = text.tokens(text.normalize_text("storyline"))
-    return wide(spark, sf, "movies").select("row_id", F.array_join(words, " ").alias("tokens"))
+    return view(spark, sf, "movies").select("row_id", F.array_join(words, " ").alias("tokens"))
 
 
 @query("remove_stopwords", f"select row_id, array_to_string({q.without_stop_words(q.token_list(STORY))}, ' ') as kept from movies")
 def remove_stopwords(spark, sf):
     words = text.remove_stop_words(text.tokens(text.normalize_text("storyline")))
-    return wide(spark, sf, "movies").select("row_id", F.array_join(words, " ").alias("kept"))
+    return view(spark, sf, "movies").select("row_id", F.array_join(words, " ").alias("kept"))
 
 
 @query("lemmatize", f"select row_id, array_to_string({q.nouns(q.without_stop_words(q.token_list(STORY)))}, ' ') as story from movies")
 def lemmatize(spark, sf):
-    return wide(spark, sf, "movies").select("row_id", text.clean_story("storyline").alias("story"))
+    return view(spark, sf, "movies").select("row_id", text.clean_story("storyline").alias("story"))
 
 
 # --- TF-IDF -----------------------------------------------------------------------------------------------
@@ -89,7 +80,7 @@ def corpus_shape(spark, sf):
 
 @query("text_copies", "select min(doc_id) as doc_id, count(*) as n_copies from documents group by coalesce(text, '')")
 def text_copies(spark, sf):
-    return text.text_copies(wide(spark, sf, "documents"), "doc_id", "text")
+    return text.text_copies(view(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("cosine_pairs", f"""with {POSTINGS}, groups as (select min(row_id) as row_id, count(*) as n_copies from stories
@@ -104,13 +95,13 @@ def cosine_pairs(spark, sf):
 @query("copy_groups", """select d.doc_id, representative from documents d join (select min(doc_id) as representative, coalesce(text, '') as t
     from documents group by 2) g on coalesce(d.text, '') = g.t""")
 def copy_groups(spark, sf):
-    return text.copy_groups(wide(spark, sf, "documents"), "doc_id", "text")
+    return text.copy_groups(view(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("title_lookup", """select regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g') as title_key, min(row_id) as row_id
     from movies group by 1""")
 def title_lookup(spark, sf):
-    return text.title_index(wide(spark, sf, "movies"), "row_id", "title")
+    return text.title_index(view(spark, sf, "movies"), "row_id", "title")
 
 
 @query("similar_docs", f"""with {POSTINGS}, seed as (select min(row_id) as id from stories where trim(lower(title)) = 'film 7'),
@@ -148,50 +139,47 @@ def match_text(spark, sf):
 
 @query("html_text", f"select page_id, {q.page_text('html')} as text from pages")
 def html_text(spark, sf):
-    return wide(spark, sf, "pages").select("page_id", docs.html_text("html").alias("text"))
+    return view(spark, sf, "pages").select("page_id", docs.html_text("html").alias("text"))
 
 
 @query("clean_text", f"select doc_id, {q.cleaned('text')} as text from documents")
 def clean_text(spark, sf):
-    return wide(spark, sf, "documents").select("doc_id", docs.clean_text("text").alias("text"))
+    return view(spark, sf, "documents").select("doc_id", docs.clean_text("text").alias("text"))
 
 
 @query("assemble_pieces", """select conv_id, string_agg(text, chr(10) order by turn, text) as text from conversations
     where text <> '' group by conv_id""")
 def assemble_pieces(spark, sf):
-    return docs.assemble_pieces(wide(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return docs.assemble_pieces(view(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
 @query("word_count", f"""select doc_id, n_words, case when n_words = 0 then 1 else 0 end as is_blank from (select doc_id,
     cast(len(list_filter(string_split({q.cleaned('text')}, ' '), lambda w: w <> '')) as int) as n_words from documents)""")
 def word_count(spark, sf):
-    counted = wide(spark, sf, "documents").select("doc_id", docs.word_count("text").alias("n_words"))
+    counted = view(spark, sf, "documents").select("doc_id", docs.word_count("text").alias("n_words"))
     return counted.withColumn("is_blank", F.when(F.col("n_words") == 0, 1).otherwise(0))
 
 
 @query("preview", "select doc_id, case when length(text) > 1500 then concat(substring(text, 1, 1500), '...') else text end "
        "as preview from documents")
 def preview(spark, sf):
-    return wide(spark, sf, "documents").select("doc_id", docs.preview("text").alias("preview"))
+    return view(spark, sf, "documents").select("doc_id", docs.preview("text").alias("preview"))
 
 
 @query("analysis_request", f"""select doc_id, part::int as part, concat({q.quoted(docs.INSTRUCTION)},
     substring(text, part * {docs.REQUEST_CHARS} + 1, {docs.REQUEST_CHARS})) as request from (select doc_id, text,
     unnest(range(greatest(1, (length(text) + {docs.REQUEST_CHARS} - 1) // {docs.REQUEST_CHARS}))) as part from documents where text is not null)""")
 def analysis_request(spark, sf):
-    return docs.analysis_requests(wide(spark, sf, "documents"), "doc_id", "text")
-
-
-def _stub_client():
-    def answer(texts):
-        return [json.dumps({"topic_category": "Other", "easy_summary": f"{len(t)} characters"}) for t in texts]
-    return answer
+    return docs.analysis_requests(view(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("enrich_stub", """select doc_id, concat('{"topic_category": "Other", "easy_summary": "', cast(length(text) as varchar),
-    ' characters"}') as response from documents""")
-def enrich_stub(spark, sf):
-    return docs.enrich(wide(spark, sf, "documents"), _stub_client, "text", "doc_id")
+@query("enrich_records", """select d.doc_id, d.lang, case when json_valid(a.response) then
+    json_extract_string(a.response, '$.topic_category') end as category from documents d
+    left join analysis_json a on a.doc_id = d.doc_id""")
+def enrich_records(spark, sf):
+    """Documents with the fields of the responses that a service has given for them."""
+    answers = analysis(spark, sf).select("doc_id", F.col("record.topic_category").alias("category"))
+    return view(spark, sf, "documents").select("doc_id", "lang").join(answers, "doc_id", "left")
 
 
 def analysis(spark, sf):

@@ -58,9 +58,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def spread(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """Rows dealt into ``parts`` partitions by a hash of their key, the same on every cluster.
-
-    Meant for heavy work per row (texts, model fitting) on tables stored in a few big pieces, and for fits that depend on
-    which rows share a partition."""
-    return df.repartition(parts, key)
+def in_pieces(df: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """Rows dealt by a hash of their key into as many partitions as they fill with ``rows`` each: for fits whose result depends
+    on which rows share a partition, which is then the same on every cluster. One count and one shuffle."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)

@@ -1,6 +1,7 @@
 """Hand cases."""
 
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -361,3 +362,91 @@ def test_empty_files(spark, tmp_path):
 def test_unknown_linear_option():
     with pytest.raises(TypeError):
         regress.MODELS["linear"][1](None, None, [], "y", "id", depth=3)
+
+
+# --- bounded top-k ------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("budget", [60, 1_000_000])
+def test_best_documents_need_few_rows(spark, budget):
+    """The best documents equal those of all scores; frequent terms are looked up for few documents only."""
+    draw = random.Random(3)
+    common, rare = [f"co{i}" for i in range(6)], [f"ra{i}" for i in range(300)]
+    rows = [(i, " ".join(draw.choices(common, k=3) + draw.choices(rare, k=12))) for i in range(400)] + [(400, ""), (401, None), (402, "co1")]
+    df = spark.createDataFrame(rows, "id long, story string")
+    model = text.TfIdf.fit(df, "id", "story")
+    asked = spark.createDataFrame([(1, "co1 co2 ra3 ra4"), (2, rows[7][1]), (3, "co1"), (4, "nothing known"), (5, "")], "qid long, q string")
+    weights = {}
+    for r in model.weights().collect():
+        weights.setdefault(r.id, {})[r.term] = r.weight
+    want = set()
+    vectors = {}
+    for r in model.transform(asked, "qid", "q").collect():
+        vectors.setdefault(r.query_id, {})[r.term] = r.q
+    for qid in range(1, 6):
+        q = vectors.get(qid, {})
+        score = {i: sum(w * q.get(t, 0) for t, w in weights.get(i, {}).items()) for i, _ in rows}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        want |= {(qid, i, rank, round(score[i], 6)) for rank, i in enumerate(best, 1)}
+    got = text.match_text(df, asked, "id", "story", "qid", "q", 5, model).collect()
+    assert {(r.query_id, r.id, r.rank, round(r.score, 6)) for r in got} == want
+    trace = []
+    found = model.best(model.transform(asked, "qid", "q"), 5, budget=budget, trace=trace)
+    kept = {(r.query_id, r.id): r.score for r in found.collect()}
+    for qid, i, _, score in want:
+        assert score == 0 or round(kept[qid, i], 6) == score
+    one = []
+    model.best(model.transform(asked.filter("qid = 2"), "qid", "q"), 5, budget=budget, trace=one)
+    if budget == 60:
+        assert max(one) < 300  # of about 400 documents that share a term with it
+
+
+# --- CSV in byte ranges -------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def small_ranges(spark):
+    """Files are cut every few hundred bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in names:
+        spark.conf.set(name, "300b")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def as_multi_line(spark, path, schema):
+    return spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(path)
+
+
+@pytest.mark.parametrize("breaks", [0, 3])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_ranges_equal_multi_line_reading(spark, tmp_path, small_ranges, breaks, end):
+    """Quotes, commas and line breaks in texts, some over several ranges; two files, one of them ending within a line."""
+    draw = random.Random(breaks)
+    schema = "id int, story string, n double, note string"
+    for part in range(2):
+        lines = ["id,story,n,note"]
+        for i in range(200):
+            words = [draw.choice(["one", "zwei", "é", 'say ""yes""', "a,b", "x"]) for _ in range(draw.randint(0, 9))]
+            if draw.random() < 0.2:
+                words += [end] * breaks + ["tail"] * draw.choice([1, 1, 200])
+            lines.append(f'{i},"{" ".join(words)}",{i / 4},{draw.choice(["", "plain", """ "" """.strip()])}')
+        (tmp_path / f"part{part}.csv").write_bytes((end.join(lines) + (end if part else "")).encode())
+    got = sources.read_table(spark, str(tmp_path), schema)
+    want = as_multi_line(spark, str(tmp_path), schema)
+    assert got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 400
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 20
+    inferred = sources.read_table(spark, str(tmp_path))
+    assert [f.dataType.simpleString() for f in inferred.schema] == ["int", "string", "double", "string"]
+    assert inferred.columns == ["id", "story", "n", "note"] and inferred.count() == 400
+
+
+def test_csv_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"b\nc"\n1,"x\n\ny"\n\n2,\n')
+    got = sources.read_table(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["a", "b\nc"] and sorted(tuple(r) for r in got.collect()) == [(1, "x\n\ny"), (2, None)]
+    (tmp_path / "b.csv").write_text("a,b\n")
+    assert sources.read_table(spark, str(tmp_path / "b.csv"), "a int, b string").count() == 0
+    (tmp_path / "c.csv").write_text("")
+    assert sources.read_table(spark, str(tmp_path / "c.csv"), "a int").count() == 0
