@@ -2,119 +2,303 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 from math import floor, sqrt
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from millrace.operators.blocks import BLOCK, pair_blocks, salted_lookup
-from millrace.operators.features import assemble
+from millrace.operators.leaves import ROWS, Leaves, dimensions, extent, squared_gap
 from millrace.operators.neighbours import VECTOR, batches, distances, stack
 from millrace.operators.ordering import ordered_index
 from millrace.session import cut_lineage, write_and_read
 
-MICRO = 256
 MAX_CLUSTERS = 4_096
 NOISE = -1
 
 
 # --- k-means ----------------------------------------------------------------------------------------------
 
-def kmeans(
-    df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 24, parallelism: int = 4
-):
-    """(labelled rows, centres): the restart with the lowest cost; ``cluster`` is added to the source columns.
-
-    The restarts are independent jobs over one cached vector column, ``parallelism`` of them at a time.
-    """
-    rows = assemble(df, features, "_vec").select("_vec").persist()
+SAMPLE = 4_096  # rows, those with the lowest hashes, among which the first centres are chosen
 
-    def run(i):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol="cluster").fit(rows)
-        return model.summary.trainingCost, i, model
 
-    try:
-        with ThreadPool(min(parallelism, restarts)) as pool:
-            best = min(pool.map(inheritable_thread_target(df.sparkSession)(run), range(restarts)), key=lambda r: r[:2])[2]
-    finally:
-        rows.unpersist()
-    labelled = best.transform(assemble(df, features, "_vec")).drop("_vec")
-    centres = [(i, *map(float, c)) for i, c in enumerate(best.clusterCenters())]
-    schema = "cluster int, " + ", ".join(f"`{f}` double" for f in features)
-    return labelled, df.sparkSession.createDataFrame(centres, schema)
+def kmeans(
+    df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 24, rounds: int = 100, sample: int = SAMPLE
+) -> tuple[DataFrame, DataFrame]:
+    """(labelled rows, centres): of all restarts the one with the lowest sum of squared distances. The rows get ``cluster``;
+    centres are (cluster, features, size, cost), in order of their features.
+
+    All restarts go through the table together: a scan assigns every row to the nearest centre of each restart and returns
+    one row of partial sums for each centre and task, so the table is read once a round whatever their number. A restart whose
+    assignment has settled leaves the scans. Its first centres are drawn from a bounded sample, the next one always with a
+    probability in proportion to the squared distance to those there are. Rows whose features are null or not numbers are an
+    error. With fewer than ``k`` different rows there are fewer centres.
+    """
+    spark, d = df.sparkSession, len(features)
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    rows = write_and_read(df.select(vector.alias("_v")))
+    dimensions(rows)
+    head = rows.orderBy(F.xxhash64("_v"), "_v").limit(sample).collect()  # at most ``sample`` rows
+    if not head:
+        centres = spark.createDataFrame([], _centre_schema(features))
+        return df.withColumn("cluster", F.lit(None).cast("int")), centres
+    spots = np.unique(np.array([r[0] for r in head]), axis=0)
+    live = {i: _first_centres(spots, min(k, len(spots)), np.random.default_rng((seed, i))) for i in range(restarts)}
+    best: tuple[float, int, np.ndarray, np.ndarray, np.ndarray] | None = None
+    for turn in range(rounds):
+        sums = {i: np.zeros((len(c), d + 2)) for i, c in live.items()}
+        for r in _partial_sums(rows, live, d).collect():  # one row a restart and centre
+            sums[r["restart"]][r["cluster"]] = [r["n"], r["cost"], *r["total"]]
+        for i, s in sums.items():
+            moved = np.where(s[:, :1] > 0, s[:, 2:] / np.maximum(s[:, :1], 1), live[i])
+            settled = np.allclose(moved, live[i], rtol=1e-12, atol=0) or turn == rounds - 1
+            if settled:
+                cost = float(s[:, 1].sum())
+                if best is None or (cost, i) < best[:2]:
+                    best = cost, i, live[i], s[:, 0], s[:, 1]
+                del live[i]
+            else:
+                live[i] = moved
+        if not live:
+            break
+    _, _, centre, size, cost = best
+    order = np.lexsort(centre.T[::-1])
+    centre, size, cost = centre[order], size[order], cost[order]
+    gaps = [sum(((F.col(f).cast("double") - F.lit(float(x))) ** 2 for f, x in zip(features, c)), F.lit(0.0)) for c in centre]
+    labelled = df.withColumn("_gaps", F.array(*gaps)).withColumn(
+        "cluster", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+    table = [(i, *map(float, c), int(n), float(x)) for i, (c, n, x) in enumerate(zip(centre, size, cost))]
+    return labelled, spark.createDataFrame(table, _centre_schema(features))
+
+
+def _centre_schema(features: Sequence[str]) -> str:
+    return "cluster int, " + ", ".join(f"`{f}` double" for f in features) + ", size long, cost double"
+
+
+def _first_centres(spots: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    chosen = [spots[draw.integers(len(spots))]]
+    while len(chosen) < k:
+        gap = np.min([((spots - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(spots[draw.choice(len(spots), p=gap / gap.sum())])
+    return np.array(chosen)
+
+
+def _partial_sums(rows: DataFrame, centres: dict[int, np.ndarray], d: int) -> DataFrame:
+    """(restart, cluster, n, cost, total) over all rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {i: np.zeros((len(c), d + 2)) for i, c in centres.items()}
+        for pdf in frames:
+            for s in batches(len(pdf), max(map(len, centres.values()))):
+                v = stack(pdf["_v"].iloc[s])
+                for i, c in centres.items():
+                    gap = distances(v, c)
+                    near = gap.argmin(axis=1)
+                    cost = gap[np.arange(len(v)), near] ** 2
+                    for j, column in enumerate((np.ones(len(v)), cost, *v.T)):
+                        sums[i][:, j] += np.bincount(near, column, len(c))
+        out = [(i, j, int(row[0]), row[1], row[2:].tolist()) for i, s in sums.items() for j, row in enumerate(s) if row[0]]
+        yield pd.DataFrame(out, columns=["restart", "cluster", "n", "cost", "total"])
+
+    parts = rows.mapInPandas(run, "restart int, cluster int, n long, cost double, total array<double>")
+    totals = F.array(*[F.sum(F.col("total")[j]) for j in range(d)]).alias("total")
+    return parts.groupBy("restart", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), totals)
 
 
 # --- hierarchical -----------------------------------------------------------------------------------------
 
 def ward_merges(centres: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """(left, right, height, size) of Ward's method on weighted centroids; node ``m + i`` is merge ``i``."""
+    """(left, right, height, size) of Ward's method on weighted centroids; node ``m + i`` is merge ``i``.
+
+    Every row keeps its cheapest partner; a merge looks again only at rows whose partner it took."""
     m = len(centres)
-    ids = list(range(m))
+    ids = np.arange(m)
     points, weight = centres.astype(float).copy(), sizes.astype(float).copy()
+    cost = np.stack([_ward(points, weight, points[i], weight[i]) for i in range(m)]) if m else np.zeros((0, 0))
+    np.fill_diagonal(cost, np.inf)
+    partner = cost.argmin(axis=1) if m else np.zeros(0, int)
     merges = []
     for step in range(m - 1):
-        gap = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-        cost = 2 * gap * (weight[:, None] * weight[None, :]) / (weight[:, None] + weight[None, :])
-        cost[np.tril_indices(len(points))] = np.inf
-        a, b = divmod(int(cost.argmin()), len(points))
-        total = weight[a] + weight[b]
-        left, right = sorted((ids[a], ids[b]))
-        merges.append((left, right, sqrt(cost[a, b]), int(total)))
+        rows = np.arange(m)
+        i = int(cost[rows, partner].argmin())
+        a, b = sorted((i, int(partner[i])))
+        height, total = sqrt(cost[a, b]), weight[a] + weight[b]
+        left, right = sorted((int(ids[a]), int(ids[b])))
+        merges.append((left, right, height, int(total)))
         points[a] = (points[a] * weight[a] + points[b] * weight[b]) / total
         weight[a], ids[a] = total, m + step
-        points, weight = np.delete(points, b, axis=0), np.delete(weight, b)
-        ids.pop(b)
+        weight[b] = np.inf
+        cost[b, :], cost[:, b] = np.inf, np.inf
+        fresh = np.where(np.isinf(weight), np.inf, _ward(points, np.where(np.isinf(weight), 1.0, weight), points[a], total))
+        fresh[a] = np.inf
+        cost[a, :], cost[:, a] = fresh, fresh
+        again = np.flatnonzero(((partner == a) | (partner == b)) & np.isfinite(weight))
+        partner[again] = cost[again].argmin(axis=1)
+        partner[a] = fresh.argmin()
+        closer = fresh < cost[rows, partner]
+        partner[closer] = a
     return merges
 
 
-def cut_tree(merges: Sequence[tuple], leaves: int, k: int) -> list[int]:
-    """Cluster number per leaf after undoing the last ``k - 1`` merges; numbered by lowest leaf."""
-    parent = list(range(leaves + len(merges)))
-    for i, (a, b, *_rest) in enumerate(merges[: max(0, leaves - k)]):
-        parent[a] = parent[b] = leaves + i
+def _ward(points: np.ndarray, weight: np.ndarray, point: np.ndarray, own: float) -> np.ndarray:
+    """Squared Ward distances of clusters to one; the same bits whichever of two clusters is asked."""
+    gap = np.zeros(len(points))
+    for j in range(points.shape[1]):
+        gap += (points[:, j] - point[j]) ** 2
+    return 2 * gap * (weight * own) / (weight + own)
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    numbers: dict[int, int] = {}
-    return [numbers.setdefault(root(i), len(numbers)) for i in range(leaves)]
+FINISH = 2_048  # clusters that one task merges to the end
+NUMBER = 1 << 40  # cluster ids: round of the merge times this, plus the lowest leaf
 
 
-def hierarchical(df: DataFrame, features: Sequence[str], id: str, k: int = 4, micro: int = MICRO, seed: int = 24):
-    """(labelled rows, merge table) of Ward clustering.
+def hierarchical(
+    df: DataFrame, features: Sequence[str], id: str, k: int = 4, finish: int = FINISH, rows: int = ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(labelled rows, merge table) of Ward clustering: the rows with ``cluster``, numbered by their lowest row in order of
+    ``id``, and (step, left, right, height, size) of all n - 1 merges; leaves are numbered in order of ``id``, merge i is node
+    n + i.
 
-    Up to ``micro`` rows every row is a leaf and the result is exact. Beyond that Spark k-means first summarises the
-    table in ``micro`` weighted centroids, so the merge step always works on at most ``micro`` points.
+    Ward distances never fall below those of what was merged, so clusters that are each other's nearest can be merged at once
+    without changing the tree: a round finds every cluster's nearest one and merges all such pairs, and the merges are put in
+    order of height at the end. Equal rows are merged first, at height 0. The nearest cluster is first looked for among the
+    clusters of the same leaf of a tree over the centroids, then in leaves that may hold a nearer one. Once ``finish`` clusters
+    are left, one task does the remaining merges; the result does not depend on it.
     """
     spark = df.sparkSession
-    head = df.select(id, *features).orderBy(id).limit(micro + 1).collect()  # at most micro + 1 rows
-    if len(head) <= micro:
-        centres = np.array([[float(r[f]) for f in features] for r in head])
-        sizes = np.ones(len(head))
-        leaf_of = spark.createDataFrame([(r[id], i) for i, r in enumerate(head)],
-                                        T.StructType([df.schema[id]]).add("_leaf", "integer"))
-        leaves = df.join(leaf_of, id)
-    else:
-        rows = assemble(df, features, "_vec")
-        model = KMeans(k=micro, seed=seed, featuresCol="_vec", predictionCol="_leaf").fit(rows)
-        centres = np.array(model.clusterCenters())
-        sizes = np.array(model.summary.clusterSizes)
-        leaves = model.transform(rows).drop("_vec")
-    merges = ward_merges(centres, sizes)
-    number = F.element_at(F.array(*[F.lit(c) for c in cut_tree(merges, len(centres), k)]), F.col("_leaf") + 1)
-    labelled = leaves.withColumn("cluster", number).drop("_leaf")
-    table = [(i, *m) for i, m in enumerate(merges)]
-    return labelled, spark.createDataFrame(table, "step int, left int, right int, height double, size long")
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    numbered = ordered_index(df.select(F.col(id).alias("_id"), vector.alias("_v")), ["_id"], "leaf")
+    dims = dimensions(numbered)
+    spots = write_and_read(numbered.groupBy("_v").agg(F.count("*").alias("w"), F.min("leaf").alias("rep"), F.max("leaf").alias("last")))
+    n, same = spots.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.max("w"), F.lit(0))).first()
+    merges = [_equal_rows(numbered, spots)] if same > 1 else []
+    alone = F.col("w") == 1
+    live = spots.select(
+        F.when(alone, F.col("rep")).otherwise(-F.col("last") - 1).alias("c"), "rep", F.col("w").cast("double").alias("w"),
+        F.lit(0.0).alias("h"), "_v")
+    live, count, step = write_and_read(live), spots.count(), 1
+    while count > max(finish, 1):
+        found = write_and_read(_mutual(live, dims, rows, step))
+        merges.append(found.select("c", "a", "b", "height", F.col("w").cast("long").alias("size"), F.lit(step).cast("long").alias("step"), F.col("rep").alias("tie")))
+        gone = found.select(F.explode(F.array("a", "b")).alias("c"))
+        live = write_and_read(live.join(gone, "c", "left_anti").unionByName(found.select("c", "rep", "w", F.col("height").alias("h"), "_v")))
+        count, step = live.count(), step + 1
+    if count > 1:
+        merges.append(_rest(live, step))
+    schema = "c long, a long, b long, height double, size long, step long, tie long"
+    found = spark.createDataFrame([], schema)
+    for part in merges:
+        found = found.unionByName(part)
+    tree = write_and_read(ordered_index(write_and_read(found), ["height", "step", "tie"], "place"))
+    names = tree.select(F.col("c").alias("_c"), (F.col("place") + n).alias("_node"))
+    table = tree
+    for side in ("a", "b"):
+        node = names.withColumnsRenamed({"_c": side, "_node": f"_{side}"})
+        table = table.join(node, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    table = table.select(
+        F.col("place").alias("step"), F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"), "height", "size")
+
+    def lowest(c: str) -> Column:
+        """A row of a cluster: its lowest one, of equal rows the last one."""
+        return F.when(F.col(c) < 0, -F.col(c) - 1).otherwise(F.col(c) % NUMBER)
+
+    kept = tree.filter(F.col("place") < F.lit(n - k)).select(lowest("a").alias("a"), lowest("b").alias("b"))
+    joined = components(kept, numbered.select(F.col("leaf").alias("node")))
+    order = ordered_index(joined.select("comp").distinct(), ["comp"], "cluster")
+    label = joined.join(order, "comp").select(F.col("node").alias("leaf"), F.col("cluster").cast("int").alias("cluster"))
+    labelled = numbered.join(label, "leaf").select(F.col("_id").alias(id), "cluster")
+    return df.join(write_and_read(labelled), id), write_and_read(table)
+
+
+def _equal_rows(numbered: DataFrame, spots: DataFrame) -> DataFrame:
+    """Merges of equal rows, one more row at a time. A position in one order of all rows stands in for a window over a group,
+    which may hold any share of the table."""
+    several = numbered.join(spots.filter("w > 1"), "_v")
+    placed = write_and_read(ordered_index(several.select("_v", "leaf", "rep"), ["_v", "leaf"], "_at"))
+    start = placed.groupBy("rep").agg(F.min("_at").alias("_start"))
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.col("leaf").alias("_before"))
+    ranked = placed.join(write_and_read(start), "rep").filter("_at > _start").join(before, "_at")
+    size = F.col("_at") - F.col("_start") + 1
+    return ranked.select(
+        (-F.col("leaf") - 1).alias("c"), F.when(size == 2, F.col("rep")).otherwise(-F.col("_before") - 1).alias("a"),
+        F.col("leaf").alias("b"), F.lit(0.0).alias("height"), size.alias("size"), F.lit(0).cast("long").alias("step"), F.col("_at").alias("tie"))
+
+
+def _mutual(live: DataFrame, dims: int, rows: int, step: int) -> DataFrame:
+    """(c, a, b, height, rep, w, _v) of the pairs of clusters that are each other's nearest. A height that rounds below one of a
+    merge inside (``h``) takes that, so that merges follow those they contain."""
+    tree = Leaves.build(live, dims, rows, least="w")
+    schema = "c long, other long, cost double"
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The cheapest partner in ``b`` of every cluster in ``a``; of equal ones the pair with the lowest ids."""
+        out = {"c": [], "other": [], "cost": []}
+        if len(a) and len(b):
+            b = b.sort_values("c")
+            points, weight, ids = stack(b["_v"]), b["w"].to_numpy(), b["c"].to_numpy()
+            for c, w, v in zip(a["c"], a["w"], stack(a["_v"])):
+                cost = np.where(ids == c, np.inf, _ward(points, weight, v, w))
+                i = int(cost.argmin())
+                if np.isfinite(cost[i]):
+                    out["c"].append(c), out["other"].append(ids[i]), out["cost"].append(cost[i])
+        return pd.DataFrame(out).astype({"c": "int64", "other": "int64", "cost": "float64"})
+
+    own = write_and_read(tree.points.groupBy("_leaf").applyInPandas(lambda pdf: best(pdf, pdf), schema))
+    far = _in_other_leaves(tree, own, best, schema) if tree.cuts else own.limit(0)
+    order = F.struct("cost", F.least("c", "other"), F.greatest("c", "other"), "other")
+    nearest = write_and_read(own.unionByName(far).groupBy("c").agg(F.min(order).alias("_best")).select("c", "_best.other", "_best.cost"))
+    back = nearest.select(F.col("c").alias("other"), F.col("other").alias("c"))
+    mutual = nearest.join(back, ["c", "other"]).filter("c < other").select(F.col("c").alias("a"), F.col("other").alias("b"), "cost")
+    for side in ("a", "b"):
+        mutual = mutual.join(live.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("rep", "w", "h", "_v")]), side)
+    total = F.col("w_a") + F.col("w_b")
+    centre = F.zip_with("_v_a", "_v_b", lambda x, y: (x * F.col("w_a") + y * F.col("w_b")) / total)
+    rep = F.least("rep_a", "rep_b")
+    return mutual.select(
+        (F.lit(step) * F.lit(NUMBER) + rep).alias("c"), "a", "b", F.greatest(F.sqrt("cost"), "h_a", "h_b").alias("height"),
+        rep.alias("rep"), total.alias("w"), centre.alias("_v"))
+
+
+def _in_other_leaves(tree: Leaves, own: DataFrame, best: Callable, schema: str) -> DataFrame:
+    """The best partners in the leaves that may hold a cheaper one than a cluster's own leaf."""
+    known = write_and_read(tree.points.join(own.select("c", "cost"), "c", "left").withColumn("cost", F.coalesce("cost", F.lit(float("inf")))))
+    groups = extent(known, tree.dims, ["_leaf"], F.max("cost").alias("cost"), F.min("w").alias("w"))
+    slack = 1 + 1e-9
+
+    def least_cost(gap: Column, w: Column, other: Column) -> Column:
+        return 2 * gap * (w * other) / (w + other)
+
+    pairs = tree.reached(groups, lambda gap: least_cost(gap, F.col("w"), F.col("node_least")) <= F.col("cost") * slack)
+    near = least_cost(squared_gap(F.col("_v"), F.col("_v"), F.col("box_lo"), F.col("box_hi")), F.col("w"), F.col("box_least"))
+    routed = known.join(write_and_read(pairs).filter("_leaf <> _cell"), "_leaf").join(tree.boxes(), "_cell").filter(
+        near <= F.col("cost") * slack).select("c", "w", "_v", "_cell")
+    left, right = pair_blocks(write_and_read(routed), tree.points.select("c", "w", "_v", F.col("_leaf").alias("_cell")), ["_cell"], "c", "c")
+    keys = ["_cell", "_lb", "_rb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
+
+
+def _rest(live: DataFrame, step: int) -> DataFrame:
+    """The remaining merges, of few clusters, in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        ids, reps, heights = pdf["c"].tolist(), pdf["rep"].tolist(), pdf["h"].tolist()
+        out = []
+        for i, (left, right, height, size) in enumerate(ward_merges(stack(pdf["_v"]), pdf["w"].to_numpy())):
+            rep = min(reps[left], reps[right])
+            ids.append((step + i) * NUMBER + rep)
+            reps.append(rep)
+            heights.append(max(height, heights[left], heights[right]))
+            out.append((ids[-1], ids[left], ids[right], heights[-1], size, step + i, rep))
+        return pd.DataFrame(out, columns=["c", "a", "b", "height", "size", "step", "tie"])
+
+    schema = "c long, a long, b long, height double, size long, step long, tie long"
+    return live.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema)
 
 
 # --- DBSCAN -----------------------------------------------------------------------------------------------

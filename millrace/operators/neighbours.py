@@ -1,8 +1,7 @@
-"""Exact nearest neighbours with metric pruning.
+"""Exact nearest neighbours in two rounds over leaves of bounded size.
 
-Points are assigned to the nearest of a bounded set of pivots. Per cell, the row count, the radius range and the
-``k`` smallest radii give every query an upper bound on its k-th distance, and with it the few cells that can
-still hold one of its neighbours; only those are visited (the pruned kNN join of Lu et al., VLDB 2012).
+The points are in leaves (see ``leaves``). A query first meets the leaf of its own place, which gives a true distance of its
+k-th neighbour so far; with that bound it goes down the tree and meets the other leaves whose boxes are near enough.
 """
 
 from __future__ import annotations
@@ -14,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from millrace.operators.blocks import BLOCK, pair_blocks
-from millrace.session import cut_lineage
+from millrace.operators.leaves import Leaves, dimensions, extent, squared_gap, squared_reach
+from millrace.session import write_and_read
 
 VECTOR = T.ArrayType(T.DoubleType())
-MAX_PIVOTS = 4_096
 DIGITS = 9  # distances equal to this many digits count as ties
 
 
@@ -55,68 +54,27 @@ def k_smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(
     queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str,
-    exclude_same: bool = False, block: int = BLOCK, pivots: int | None = None,
+    exclude_same: bool = False, block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, neighbour, distance, rank): the ``k`` closest points per query, lower id first among ties.
 
-    ``vector`` is an array<double> column of both frames. ``exclude_same`` leaves out the point whose id equals
-    the query's.
+    ``vector`` is an array<double> column of both frames; null vectors, null components and different lengths are an error.
+    ``exclude_same`` leaves out the point whose id equals the query's. ``block`` is the number of rows of a leaf and of what
+    meets in one task.
     """
     q_type, p_type = queries.schema[query_id].dataType, points.schema[point_id].dataType
     wanted = k + 1 if exclude_same else k
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
-    p = points.select(F.col(point_id).alias("_p"), F.col(vector).cast("array<double>").alias("_v"))
+    q = write_and_read(queries.select(F.col(query_id).alias("_q"), F.col(vector).cast("array<double>").alias("_v")))
+    p = write_and_read(points.select(F.col(point_id).alias("_p"), F.col(vector).cast("array<double>").alias("_v")))
+    pair_schema = T.StructType([T.StructField("_q", q_type), T.StructField("_p", p_type)]).add("distance", "double")
+    if p.isEmpty() or q.isEmpty():
+        schema = T.StructType([T.StructField(query_id, q_type), T.StructField("neighbour", p_type)])
+        return queries.sparkSession.createDataFrame([], schema.add("distance", "double").add("rank", "integer"))
+    dims = dimensions(p.select("_v").union(q.select("_v")))
     # Of exactly equal points only the lowest ids can be neighbours; the rank filter runs before the shuffle too.
     copies = W.partitionBy("_v").orderBy("_p")
     p = p.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= wanted).drop("_c")
-
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, -(-points.count() // block)))
-    chosen = p.orderBy(F.xxhash64("_p"), "_p").select("_v").limit(pivots).collect()
-    if not chosen:
-        schema = T.StructType([T.StructField(query_id, q_type), T.StructField("neighbour", p_type)])
-        schema.add("distance", "double").add("rank", "integer")
-        return queries.sparkSession.createDataFrame([], schema)
-    pivot = np.array([r[0] for r in chosen], dtype=float)
-
-    def to_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                v = stack(pdf["_v"])
-                d = np.vstack([distances(v[s], pivot) for s in batches(len(v), len(pivot))])
-                yield pdf.assign(_cell=d.argmin(axis=1).astype("int32"), _r=d.min(axis=1))
-
-    cell_schema = T.StructType([T.StructField("_p", p_type)]).add("_v", VECTOR)
-    cell_schema = cell_schema.add("_cell", "integer").add("_r", "double")
-    assigned = cut_lineage(p.mapInPandas(to_cell, cell_schema))
-    by_cell = W.partitionBy("_cell").orderBy("_r")
-    radii = assigned.select("_cell", "_r", F.row_number().over(by_cell).alias("_n")).filter(F.col("_n") <= wanted)
-    radii = radii.groupBy("_cell").agg(F.sort_array(F.collect_list("_r")).alias("near"))
-    extent = assigned.groupBy("_cell").agg(F.min("_r").alias("low"), F.max("_r").alias("high"))
-    cells = sorted(extent.join(radii, "_cell").collect(), key=lambda r: r["_cell"])  # at most MAX_PIVOTS rows
-    number = np.array([c["_cell"] for c in cells], dtype="int32")
-    low, high = np.array([c["low"] for c in cells]), np.array([c["high"] for c in cells])
-    owner = np.concatenate([np.full(len(c["near"]), i) for i, c in enumerate(cells)])
-    near = np.concatenate([np.array(c["near"]) for c in cells])
-    centre = pivot[number]
-
-    def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for s in batches(len(pdf), max(len(near), len(centre))):
-                part = pdf.iloc[s]
-                d = distances(stack(part["_v"]), centre)
-                upper = d[:, owner] + near
-                kth = np.partition(upper, wanted - 1, axis=1)[:, wanted - 1] if upper.shape[1] >= wanted else np.inf
-                bound = np.maximum(np.maximum(d - high, low - d), (d - d.min(axis=1, keepdims=True)) / 2)
-                reach = np.broadcast_to(np.asarray(kth), (len(part),))[:, None]
-                rows, cols = np.nonzero(bound <= reach + 1e-8 * (1 + np.abs(d)))
-                yield pd.DataFrame(
-                    {"_q": part["_q"].to_numpy()[rows], "_v": part["_v"].to_numpy()[rows], "_cell": number[cols]}
-                )
-
-    route_schema = T.StructType([T.StructField("_q", q_type)]).add("_v", VECTOR).add("_cell", "integer")
-    routed = q.mapInPandas(to_cells, route_schema)
-    left, right = pair_blocks(routed, assigned.drop("_r"), ["_cell"], "_q", "_p", block)
+    tree = Leaves.build(p, dims, block)
 
     def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -130,9 +88,18 @@ def nearest(
                 out.append(pd.DataFrame({"_q": q_ids[s][rows], "_p": p_ids[cols], "distance": d[rows, cols]}))
         return pd.concat(out) if out else pd.DataFrame({"_q": [], "_p": [], "distance": []})
 
-    pair_schema = T.StructType([T.StructField("_q", q_type), T.StructField("_p", p_type)]).add("distance", "double")
-    keys = ["_cell", "_lb", "_rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, pair_schema)
+    def met(asked: DataFrame) -> DataFrame:
+        """The closest points of leaves to queries (_q, _v, _cell)."""
+        held = tree.points.select("_p", "_v", F.col("_leaf").alias("_cell"))
+        left, right = pair_blocks(asked, held, ["_cell"], "_q", "_p", block)
+        keys = ["_cell", "_lb", "_rb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, pair_schema)
+
+    placed = tree.place(q)
+    found = met(placed.withColumnRenamed("_leaf", "_cell"))
+    if tree.cuts:
+        found = write_and_read(found)
+        found = found.unionByName(met(write_and_read(_routed(tree, placed, found, wanted, dims))))
     if exclude_same:
         found = found.filter(F.col("_q") != F.col("_p"))
     rank = F.row_number().over(W.partitionBy("_q").orderBy(F.round("distance", DIGITS), "_p"))
@@ -140,20 +107,62 @@ def nearest(
     return found.select(F.col("_q").alias(query_id), F.col("_p").alias("neighbour"), "distance", "rank")
 
 
+def _routed(tree: Leaves, placed: DataFrame, found: DataFrame, wanted: int, dims: int) -> DataFrame:
+    """(_q, _v, _cell) for the leaves other than a query's own that may hold one of its neighbours.
+
+    A query that met fewer points than wanted is bound by the farthest corner of the smallest part of the tree around its place
+    that holds enough; without such a part every leaf is near."""
+    place = F.row_number().over(W.partitionBy("_q").orderBy("distance"))
+    kth = found.withColumn("_r", place).filter(F.col("_r") == wanted).select("_q", F.col("distance").alias("_kth"))
+    known = write_and_read(placed.join(kth, "_q", "left"))
+    path = F.split("_leaf", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, F.lit(1), i), "/"))
+    ample = tree.nodes.filter(F.col("n") >= wanted).select("node", "lo", "hi")
+    corner = F.struct((-F.length("node")).alias("_at"), F.sqrt(squared_reach(F.col("_v"), F.col("lo"), F.col("hi"))).alias("_far"))
+    around = known.filter("_kth is null").select("_q", "_v", F.explode(up).alias("node")).join(ample, "node").groupBy("_q").agg(
+        F.min(corner).alias("_corner"))
+    far = F.coalesce("_kth", "_corner._far", F.lit(float("inf")))
+    slack = F.lit(2 * 10.0**-DIGITS)  # what rounds to the k-th distance is a tie
+    bound = write_and_read(known.join(around, "_q", "left").select("_q", "_v", "_leaf", (far * (1 + 1e-9) + slack).alias("_bound")))
+    groups = extent(bound, dims, ["_leaf"], F.max("_bound").alias("_bound"))
+    pairs = write_and_read(tree.reached(groups, lambda gap: F.sqrt(gap) <= F.col("_bound")).filter("_leaf <> _cell"))
+    gap = squared_gap(F.col("_v"), F.col("_v"), F.col("box_lo"), F.col("box_hi"))
+    near = bound.join(pairs, "_leaf").join(tree.boxes(), "_cell").filter(F.sqrt(gap) <= F.col("_bound"))
+    return near.select("_q", "_v", "_cell")
+
+
 def unit_vector(c):
-    """Array scaled to length 1, so that Euclidean order equals cosine order."""
+    """(array scaled to length 1, so that Euclidean order equals cosine order; whether it has a length at all)."""
     x = F.transform(c, lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(x, lambda v: F.try_divide(v, norm))
+    return F.transform(x, lambda v: F.coalesce(F.try_divide(v, norm), v)), norm > 0
 
 
 def nearest_cosine(
     queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str,
     exclude_same: bool = False, block: int = BLOCK,
 ) -> DataFrame:
-    """(query_id, neighbour, score, rank) by cosine; ``score = 1 - cosine distance``."""
-    q = queries.select(query_id, unit_vector(F.col(vector)).alias(vector))
-    p = points.select(point_id, unit_vector(F.col(vector)).alias(vector))
-    out = nearest(q, p, k, query_id, point_id, vector, exclude_same, block)
+    """(query_id, neighbour, score, rank) by cosine; ``score = 1 - cosine distance``.
+
+    A vector of zeros, as of a blank text, has the score 0 with every other one: such points come in with that score, lowest ids
+    first, and such queries get the lowest ids. Null vectors and null components are an error.
+    """
+    unit, nonzero = unit_vector(F.col(vector))
+    q = write_and_read(queries.select(query_id, unit.alias(vector), F.coalesce(nonzero, F.lit(True)).alias("_some")))
+    p = write_and_read(points.select(point_id, unit.alias(vector), F.coalesce(nonzero, F.lit(True)).alias("_some")))
+    out = nearest(q.filter("_some"), p.filter("_some"), k, query_id, point_id, vector, exclude_same, block)
     score = F.lit(1.0) - F.col("distance") * F.col("distance") / 2
-    return out.select(query_id, "neighbour", score.alias("score"), "rank")
+    scored = out.select(F.col(query_id).alias("_q"), "neighbour", score.alias("score"))
+
+    def lowest(frame: DataFrame) -> DataFrame:  # k + 1 ids in one row
+        return frame.select(point_id).orderBy(point_id).limit(k + 1).agg(F.collect_list(point_id).alias("_ids"))
+
+    blank = p.filter("not _some")
+    for side, ids in ((q.filter("_some"), lowest(blank)), (q.filter("not _some"), lowest(p))):
+        zero = side.select(F.col(query_id).alias("_q"), F.explode(ids.scalar()).alias("neighbour")).withColumn("score", F.lit(0.0))
+        scored = scored.unionByName(zero)
+    if exclude_same:
+        scored = scored.filter(F.col("_q") != F.col("neighbour"))
+    rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc(F.round("score", DIGITS)), "neighbour"))
+    ranked = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.select(F.col("_q").alias(query_id), "neighbour", "score", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import cluster, features, neighbours, profile, regress
 from millrace.plans.fixtures import view
-from millrace.session import cut_lineage, spread
+from millrace.session import cut_lineage, in_pieces
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -42,7 +42,7 @@ def prepared(spark, sf):
 
 
 def sides(spark, sf):
-    rows = spread(cut_lineage(prepared(spark, sf)), "id")
+    rows = in_pieces(cut_lineage(prepared(spark, sf)), "id")
     return rows.filter("side = 'train'"), rows.filter("side = 'test'")
 
 
@@ -188,7 +188,7 @@ def model_comparison(spark, sf):
 # --- clustering -------------------------------------------------------------------------------------------
 
 def scaled_workouts(spark, sf):
-    rows = spread(workouts(spark, sf), "id")
+    rows = workouts(spark, sf)
     return features.StandardScale.fit(rows, SCALED).transform(rows).select("id", *SCALED)
 
 
@@ -266,3 +266,19 @@ def silhouette_samples(spark, sf):
 def knn_embeddings(spark, sf):
     rows = view(spark, sf, "embeddings")
     return r6(neighbours.nearest_cosine(rows, rows, 10, "vec_id", "vec_id", "embedding", exclude_same=True), "score")
+
+
+def blanked(spark, sf):
+    """Embeddings of which every seventh is blank."""
+    blank = F.transform("embedding", lambda x: x * 0)
+    return view(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, blank).otherwise(F.col("embedding")).alias("embedding"))
+
+
+@query("knn_blank", """with v as (select vec_id, vec_id % 7 = 0 as blank, cast(embedding as double[]) as e from embeddings),
+    s as (select a.vec_id, b.vec_id as neighbour, case when a.blank or b.blank then 0 else list_cosine_similarity(a.e, b.e) end as score
+    from v a join v b on a.vec_id <> b.vec_id),
+    r as (select *, row_number() over (partition by vec_id order by round(score, 9) desc, neighbour) as rank from s)
+    select vec_id, neighbour, round(score, 6) as score, cast(rank as int) as rank from r where rank <= 10""")
+def knn_blank(spark, sf):
+    rows = blanked(spark, sf)
+    return r6(neighbours.nearest_cosine(rows, rows, 10, "vec_id", "vec_id", "embedding", exclude_same=True), "score")

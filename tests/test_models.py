@@ -25,15 +25,49 @@ def brute_nearest(q, p, k, skip_same):
     return out
 
 
-@pytest.mark.parametrize("block,pivots", [(4096, None), (16, None), (16, 40), (7, 3)])
-def test_nearest_equals_brute_force(spark, block, pivots):
+@pytest.mark.parametrize("block", [4096, 24, 5])
+def test_nearest_equals_brute_force(spark, block):
+    """In one leaf, in many, and in leaves with fewer points than are wanted."""
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(150, 3)), np.zeros((60, 3)), rng.integers(0, 3, (60, 3))])  # a third are copies
     df = vectors(spark, x)
-    got = neighbours.nearest(df, df, 4, "id", "id", "vec", exclude_same=True, block=block, pivots=pivots)
+    got = neighbours.nearest(df, df, 4, "id", "id", "vec", exclude_same=True, block=block)
     assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute_nearest(x, x, 4, True)
 
 
+def test_nearest_of_queries_outside(spark):
+    """Queries far from all points and in parts without points."""
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(120, 2)), rng.normal(size=(25, 2)) * 40
+    got = neighbours.nearest(vectors(spark, y), vectors(spark, x), 7, "id", "id", "vec", block=10)
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute_nearest(y, x, 7, False)
+
+
+def test_cosine_of_blank_vectors(spark):
+    """Blank vectors score 0 with all others, lowest ids first; in many leaves."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 3))
+    x[::7] = 0
+    df = vectors(spark, x)
+    length = np.linalg.norm(x, axis=1)
+    score = (x @ x.T) / np.where(length > 0, length, 1)[:, None] / np.where(length > 0, length, 1)[None]
+    want = set()
+    for i in range(60):
+        best = sorted((j for j in range(60) if j != i), key=lambda j: (-round(score[i, j], 9), j))[:40]
+        want |= {(i, j, rank, round(score[i, j], 6) + 0.0) for rank, j in enumerate(best, 1)}
+    for block in (4096, 12):
+        got = neighbours.nearest_cosine(df, df, 40, "id", "id", "vec", exclude_same=True, block=block).collect()
+        assert {(r["id"], r["neighbour"], r["rank"], round(r["score"], 6) + 0.0) for r in got} == want
+
+
+@pytest.mark.parametrize("bad", [None, [1.0, None], [1.0, float("nan")], [1.0]])
+def test_broken_vectors_are_an_error(spark, bad):
+    df = spark.createDataFrame([(1, [0.5, 0.5]), (2, bad)], "id long, vec array<double>")
+    for search in (neighbours.nearest, neighbours.nearest_cosine):
+        with pytest.raises(ValueError, match="vectors"):
+            search(df, df, 1, "id", "id", "vec").collect()
+
+
 def test_nearest_with_few_points(spark):
     df = vectors(spark, np.array([[0.0, 0.0], [1.0, 0.0]]))
     got = neighbours.nearest(df, df, 5, "id", "id", "vec")
@@ -118,13 +152,104 @@ def test_ward_exact_on_small_data(spark):
     assert np.isclose(sum(h * h for h in heights) / 2, ((x - x.mean(axis=0)) ** 2).sum())
 
 
-def test_ward_summarises_larger_data(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(400, 2)) * 0.3 + np.repeat([[0, 0], [9, 0]], 200, axis=0)
-    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(400)))
-    labelled, merges = cluster.hierarchical(df, ["a", "b"], "id", k=2, micro=32)
-    by_side = labelled.groupBy((F.col("id") < 200).alias("s"), "cluster").count().count()
-    assert by_side == 2 and merges.count() == 31
+def brute_ward(x):
+    """(left, right, height, size) by looking at all pairs of clusters before every merge; leaves are rows."""
+    live = {i: (p.astype(float), 1) for i, p in enumerate(x)}
+    merges = []
+    while len(live) > 1:
+        ids = sorted(live)
+        centre, size = np.array([live[i][0] for i in ids]), np.array([live[i][1] for i in ids], float)
+        gap = ((centre[:, None] - centre[None]) ** 2).sum(axis=2)
+        cost = 2 * gap * size[:, None] * size[None] / (size[:, None] + size[None])
+        cost[np.tril_indices(len(ids))] = np.inf
+        i, j = divmod(int(cost.argmin()), len(ids))
+        (p, a), (q, b) = live.pop(ids[i]), live.pop(ids[j])
+        live[len(x) + len(merges)] = ((p * a + q * b) / (a + b), a + b)
+        merges.append((ids[i], ids[j], float(np.sqrt(cost[i, j])), a + b))
+    return merges
+
+
+def brute_labels(merges, n, k):
+    """Clusters after n - k merges, numbered by their lowest row."""
+    parent = list(range(n + len(merges)))
+    for i, (a, b, *_) in enumerate(merges[: max(0, n - k)]):
+        parent[a] = parent[b] = n + i
+    numbers = {}
+    out = []
+    for i in range(n):
+        while parent[i] != i:
+            i = parent[i]
+        out.append(numbers.setdefault(i, len(numbers)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "dims", "finish", "rows"), [(3, 2, 2_048, 2_048), (257, 3, 2_048, 2_048), (200, 2, 80, 32), (60, 4, 12, 2_048)])
+def test_ward_equals_all_pairs(spark, n, dims, finish, rows):
+    """The tree does not depend on where one task takes over, nor on the size of leaves."""
+    x = np.random.default_rng(n).normal(size=(n, dims)) * np.arange(1, dims + 1)
+    names = [f"f{i}" for i in range(dims)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=np.arange(n) * 3)).repartition(4)
+    labelled, merges = cluster.hierarchical(df, names, "id", k=3, finish=finish, rows=rows)
+    got = merges.orderBy("step").collect()
+    want = brute_ward(x)
+    assert [(r.step, r.left, r.right, r.size) for r in got] == [(i, a, b, s) for i, (a, b, _, s) in enumerate(want)]
+    assert np.allclose([r.height for r in got], [h for _, _, h, _ in want])
+    labels = [r.cluster for r in labelled.orderBy("id").collect()]
+    assert labels == brute_labels(want, n, 3)
+
+
+def test_ward_of_equal_rows(spark):
+    """A third of the rows is equal, some others are in pairs: those merge first, at height 0, one by one."""
+    x = np.random.default_rng(4).normal(size=(90, 2))
+    x[::3], x[1], x[5] = 0.25, x[2], x[4]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(90)))
+    labelled, merges = cluster.hierarchical(df, ["a", "b"], "id", k=5, finish=30)
+    got = merges.orderBy("step").collect()
+    assert len(got) == 89 and [r.height for r in got[:31]] == [0.0] * 31 and got[31].height > 0
+    assert np.isclose(sum(r.height**2 for r in got) / 2, ((x - x.mean(axis=0)) ** 2).sum())
+    assert np.allclose([r.height for r in got], [h for _, _, h, _ in brute_ward(x)])
+    children = [c for r in got for c in (r.left, r.right)]
+    assert sorted(children) == list(range(178)) and all(max(r.left, r.right) < 90 + r.step for r in got)
+    assert labelled.select("cluster").distinct().count() == 5 and labelled.count() == 90
+
+
+def test_ward_of_few_or_broken_rows(spark):
+    empty = spark.createDataFrame([], "id long, a double")
+    assert [d.count() for d in cluster.hierarchical(empty, ["a"], "id")] == [0, 0]
+    one = spark.createDataFrame([(7, 1.0)], "id long, a double")
+    labelled, merges = cluster.hierarchical(one, ["a"], "id")
+    assert labelled.first().cluster == 0 and merges.count() == 0
+    with pytest.raises(ValueError, match="null"):
+        cluster.hierarchical(spark.createDataFrame([(1, None), (2, 2.0)], "id long, a double"), ["a"], "id")
+
+
+def test_kmeans_takes_the_best_restart(spark):
+    """On separated groups the best of all restarts has the least possible cost: that of the groups' own centres."""
+    rng = np.random.default_rng(9)
+    spots = np.array([[0, 0], [8, 1], [1, 9], [9, 9], [4, 4]])
+    x = rng.normal(size=(200, 2)) * 0.3 + np.repeat(spots, 40, axis=0)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(200), cluster_note="x"))
+    results = []
+    for parts in (1, 7):
+        labelled, centres = cluster.kmeans(df.repartition(parts), ["a", "b"], k=5)
+        results.append(([tuple(r) for r in centres.orderBy("cluster").collect()], [r.cluster for r in labelled.orderBy("id").collect()]))
+    (rows, labels), (again, same) = results
+    assert labels == same and np.allclose(rows, again)
+    means = sorted(x[i : i + 40].mean(axis=0).tolist() for i in range(0, 200, 40))
+    assert np.allclose([r[1:3] for r in rows], means) and [r[3] for r in rows] == [40] * 5
+    cost = sum(((x[i : i + 40] - x[i : i + 40].mean(axis=0)) ** 2).sum() for i in range(0, 200, 40))
+    assert np.isclose(sum(r[4] for r in rows), cost)
+
+
+def test_kmeans_of_few_or_broken_rows(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 5.0)], "id long, a double")
+    labelled, centres = cluster.kmeans(rows, ["a"], k=4)
+    assert [tuple(r) for r in centres.orderBy("cluster").collect()] == [(0, 2.0, 2, 0.0), (1, 5.0, 1, 0.0)]
+    assert [r.cluster for r in labelled.orderBy("id").collect()] == [0, 0, 1]
+    with pytest.raises(ValueError, match="null"):
+        cluster.kmeans(spark.createDataFrame([(1, None)], "id long, a double"), ["a"])
+    labelled, centres = cluster.kmeans(rows.limit(0), ["a"])
+    assert labelled.count() == 0 and centres.count() == 0
 
 
 def test_kmeans_finds_separate_groups(spark):
