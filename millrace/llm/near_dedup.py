@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,6 +120,133 @@ def with_partners(live: DataFrame, sets: DataFrame, threshold: float, scratch: S
     return members.join(least, "key").where(enough(most, most, F.col("n"), least_n, threshold)).select(live.columns)
 
 
+BLOCK, BLOCK_SHINGLES = 512, 500_000  # most members and shingles of a block
+COLUMNS = 4_096  # elements of a membership table
+WAVES = (1, 6)  # bands after which links contract the groups, before all bands are gone through
+
+
+class Groups:
+    """Components of documents that grow by rounds of comparisons within buckets."""
+
+    def __init__(self, comp: DataFrame, sketched: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch):
+        self.comp, self.sketched, self.sets, self.threshold, self.scratch = comp, sketched, sets, threshold, scratch
+        self.checked: DataFrame | None = None
+
+    def named(self, members: DataFrame) -> DataFrame:
+        """Members with their component as it is now; only buckets that hold two or more."""
+        members = members.drop("comp").join(self.comp, "id")
+        return unsettled(self.scratch.save(members), self.scratch)
+
+    def compare(self, live: DataFrame, pivots: int) -> DataFrame:
+        """Compares the first members of each bucket with its others, adds the links to the components and returns the
+        members (key, id) that were compared with all others.
+
+        The first members of a bucket are one row, and a member's partners from all its buckets come together before pairs
+        are made: a group that meets in every band makes its pairs once, not once a band."""
+        first = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
+        chosen = self.scratch.save(live.withColumn("place", first).where(F.col("place") <= pivots).drop("place", "rank"))
+        lists = self.scratch.save(chosen.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "n", "most")).alias("firsts")))
+
+        def apart(p: Column) -> Column:
+            near = enough(F.col("most"), p["most"], F.col("n"), p["n"], self.threshold)
+            return (p["id"] != F.col("id")) & (p["comp"] != F.col("comp")) & near
+
+        others = F.transform(F.filter("firsts", apart), lambda p: F.struct(p["id"].alias("id"), p["comp"].alias("comp")))
+        partners = live.join(lists, "key").select("id", "comp", others.alias("others")).where(F.size("others") > 0)
+        partners = partners.groupBy("id", "comp").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        a, b = F.struct("id", "comp"), F.col("other")
+        swap = F.col("id") > F.col("other.id")
+        pairs = partners.select("id", "comp", F.explode("others").alias("other")).select(
+            F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")
+        ).selectExpr("a.id as a", "b.id as b", "a.comp as comp_a", "b.comp as comp_b").distinct()
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
+        pairs = self.scratch.save(pairs)
+        done = pairs.select("a", "b")
+        self.checked = done if self.checked is None else self.checked.union(done)
+        links = confirmed(self.scratch.save(likely(pairs, self.sketched, self.threshold)), self.sets, self.threshold)
+        self.add(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+        return chosen.select("key", "id")
+
+    def add(self, links: DataFrame) -> None:
+        """Joins the components (a, b)."""
+        links = self.scratch.save(links)
+        if not links.isEmpty():
+            moved = components(links, self.scratch).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+            self.comp = self.scratch.save(
+                self.comp.join(moved, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")))
+
+    def finish(self, live: DataFrame) -> None:
+        """Compares all members of different components within each bucket, in blocks inside the tasks, which return a
+        spanning set of links instead of pairs.
+
+        What comes here are texts that the first members did not settle, such as copies that edits of their own have moved
+        apart from each other: no bound below full sets tells which of them are linked."""
+        held = self.scratch.save(live.select("key", "id", "comp").join(self.sets, "id"))
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES)).alias("blocks")
+        counts = self.scratch.save(held.groupBy("key").agg(blocks))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        dealt = held.join(counts, "key").withColumn("own", own).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        threshold = round(self.threshold * 10_000)
+
+        def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+            first, second = pdf["own"].to_numpy() == pdf["low"].iloc[0], pdf["own"].to_numpy() == pdf["high"].iloc[0]
+            sets, comp = pdf["s"].to_list(), pdf["comp"].to_numpy()
+            left, right = np.flatnonzero(first), np.flatnonzero(second)
+            sizes = np.array([len(x) for x in sets])
+            both = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+            union = sizes[left][:, None] + sizes[right][None] - both
+            i, j = np.nonzero((both * 10_000 >= union * threshold) & (comp[left][:, None] != comp[right][None]))
+            return pd.DataFrame(spanning(comp[left][i].tolist(), comp[right][j].tolist()), columns=["a", "b"]).astype("int64")
+
+        links = dealt.select("key", "low", "high", "own", "comp", "s").groupBy("key", "low", "high").applyInPandas(linked, "a long, b long")
+        self.add(links.distinct())
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one list shares with each of the other: products of membership tables, a range of the
+    elements at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    x, y = np.concatenate(left), np.concatenate(right)
+    elements = np.intersect1d(x, y)
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    kept = [np.isin(values, elements) for values in (x, y)]
+    places = [np.searchsorted(elements, values[k]) for values, k in zip((x, y), kept)]
+    rows = [r[k] for r, k in zip(rows, kept)]
+    for at in range(0, len(elements), COLUMNS):
+        tables = []
+        for side, row, place in zip((left, right), rows, places):
+            mine = (place >= at) & (place < at + COLUMNS)
+            table = np.zeros((len(side), min(COLUMNS, len(elements) - at)), np.float32)
+            table[row[mine], place[mine] - at] = 1
+            tables.append(table)
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The links that join something not joined by those before."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        p, q = find(x), find(y)
+        if p != q:
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
@@ -132,9 +260,9 @@ def near_duplicates(
     Equal sets are one class, found by fingerprint. Of the classes, bands of SetSketch registers give candidate buckets
     (a pair at the threshold is missed with a probability of 1e-6), the joint likelihood estimate drops candidates far
     below the threshold, and full sets decide. A bucket's pairs are never written out: its most connected members are
-    compared with the rest, links contract components, members that can have no link are dropped, and only rows of other components
-    are compared with the next members (1, 4, 16, ... a round), until each bucket is one component or all its pairs have
-    been compared.
+    compared with the rest, and links contract components. A few bands go first, one member of a bucket each, so that a large
+    group is one component before its other bands are looked at; then one member of every bucket. Of what is left, members that
+    can have no link are dropped, and the others are compared with those of other components block by block inside the tasks.
     """
     spark = docs.sparkSession
     rows, count = banding(threshold)
@@ -143,45 +271,31 @@ def near_duplicates(
         known = sketched.where("n > 0 and id is not null")
         classes = scratch.save(known.groupBy("f", "g").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
         reps = known.select("id", "f", "g", "keys").join(classes, ["f", "g"], "left").where("rep is null or rep = id")
-        keyed = scratch.save(reps.select("id", F.explode("keys").alias("key")))
-        shared = scratch.save(keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"))
+        keyed = scratch.save(reps.select("id", F.posexplode("keys").alias("band", "key")))
+        shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size"))
+        shared = scratch.save(shared.where("x < y").select("key", "size"))
         met = scratch.save(keyed.join(shared, "key"))
-        # first the members of the most shared buckets: the texts that others are copies of
-        ranks = scratch.save(met.groupBy("id").agg((-F.count("*")).alias("rank")))
+        # first the members of the largest buckets: the texts that others are copies of
+        ranks = scratch.save(met.groupBy("id").agg((-F.sum("size")).alias("rank")))
         sets = scratch.save(shingle_sets(docs, ranks.select("id"), id_col, text_col, words))
         one = F.when(F.count("*") == 1, F.min(F.size("s"))).cast("long")  # unknown for ids with several texts
         sizes = scratch.save(sets.groupBy("id").agg(one.alias("n")).join(ranks, "id"))
-        live = scratch.save(met.join(sizes, "id").select("key", "id", F.col("id").alias("comp"), "rank", "n", F.col("n").alias("most")))
-        comp = ranks.select("id", F.col("id").alias("comp"))
-        checked, pivots = [], 1
-        while not live.isEmpty():
-            first = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
-            chosen = scratch.save(live.withColumn("place", first).where(F.col("place") <= pivots).drop("place", "rank"))
-            other = live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "most")], F.col("comp").alias("other"))
-            near = enough(F.col("most"), F.col("most_b"), F.col("n"), F.col("n_b"), threshold)
-            a, b = F.struct("comp", "id"), F.struct(F.col("other").alias("comp"), F.col("id_b").alias("id"))
-            swap = F.col("id") > F.col("id_b")
-            pairs = other.join(chosen, "key").where("id != id_b and comp != other").where(near).select(
-                F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")
-            ).selectExpr("a.id as a", "b.id as b", "a.comp as comp_a", "b.comp as comp_b").distinct()
-            for old in checked:
-                pairs = pairs.join(old, ["a", "b"], "left_anti")
-            pairs = scratch.save(pairs)
-            checked.append(pairs.select("a", "b"))
-            found = scratch.save(likely(pairs, sketched, threshold))
-            links = confirmed(found, sets, threshold)
-            links = scratch.save(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
-            live = live.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-            if not links.isEmpty():
-                moved = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
-                comp = scratch.save(comp.join(moved, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")))
-                live = live.drop("comp").join(comp, "id").select(live.columns)
-            live = unsettled(scratch.save(live), scratch)
+        members = scratch.save(met.join(sizes, "id").select("band", "key", "id", "rank", "n", F.col("n").alias("most")))
+        groups = Groups(ranks.select("id", F.col("id").alias("comp")), sketched, sets, threshold, scratch)
+        for low, high in zip((0, *WAVES), WAVES):
+            live = groups.named(members.where((F.col("band") >= low) & (F.col("band") < min(high, count))).drop("band"))
             if not live.isEmpty():
-                live = unsettled(with_partners(live, sets, threshold, scratch), scratch)
-            pivots *= 4
-        lone = known.select("id", "f", "g").join(comp, "id").where("comp != id").select("f", "g", "comp")
-        copies = classes.join(comp, classes.rep == comp.id, "left").select("f", "g", F.coalesce("comp", "rep").alias("comp"))
+                groups.compare(live, 1)
+        live = groups.named(members.drop("band"))
+        if not live.isEmpty():
+            done = groups.compare(live, 1)
+            live = groups.named(live.join(done, ["key", "id"], "left_anti"))
+        if not live.isEmpty():
+            live = unsettled(with_partners(live, sets, threshold, scratch), scratch)
+        if not live.isEmpty():
+            groups.finish(live)
+        lone = known.select("id", "f", "g").join(groups.comp, "id").where("comp != id").select("f", "g", "comp")
+        copies = classes.join(groups.comp, classes.rep == groups.comp.id, "left").select("f", "g", F.coalesce("comp", "rep").alias("comp"))
         labels = scratch.save(lone.union(copies).groupBy("f", "g").agg(F.min("comp").alias("comp")))
         rows_out = sketched.join(labels, ["f", "g"], "left").select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("if(id is null, null, coalesce(comp, id))").alias("component_id")

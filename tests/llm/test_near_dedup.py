@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from millrace.llm import near_dedup
 from millrace.llm.near_dedup import first_of_groups, near_duplicates
 from millrace.llm.setsketch import banding, bands, merged, registers, similarity
 from millrace.llm.stars import components
@@ -82,6 +83,35 @@ def test_one_group_of_copies_beside_others(spark):
     assert got == brute(rows, 3, 85)
 
 
+def test_blocks_count_and_span(monkeypatch):
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 300, draw.integers(0, 90))) for _ in range(40)]
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    want = [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]
+    assert near_dedup.shared_counts(sets[:15], sets[15:]).tolist() == want
+    assert near_dedup.shared_counts([], sets).shape == (0, 40)
+    links = near_dedup.spanning([1, 2, 3, 1, 5], [2, 3, 1, 3, 6])
+    assert links == [(1, 2), (2, 3), (5, 6)]
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Copies that edits have moved apart from each other, in buckets of several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    draw = random.Random(15)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(250):
+        text = list(base)
+        for _ in range(draw.choice([2, 3, 3, 4, 5])):
+            text[draw.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=0.85).collect()}
+    want = brute(rows, 3, 85)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, None, "x", None), (2, "", "de", None, "y"), (3, " \t\n", "de", None, "y"), (4, "one", None, None, None),
