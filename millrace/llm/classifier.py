@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.additive import Additive, fit
 from millrace.llm.quality import LEADS, SYMBOLS, covered, repeats
-from millrace.llm.tables import Scratch, small, text_bytes
+from millrace.llm.tables import Scratch, labelled_sample, parts, text_bytes
 from millrace.llm.words import Hasher, byte_table, spans
 
 FEATURES = (
@@ -65,7 +65,7 @@ def measured(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure()
-        for batch in batches:
+        for batch in parts(batches):
             x = pa.array([measure(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["id", "label", "x"])
 
@@ -73,13 +73,11 @@ def measured(texts: DataFrame) -> DataFrame:
 
 
 def learn(texts: DataFrame, labels: DataFrame, bound: int) -> Additive:
-    """The model from at most ``bound`` labelled rows, those with the lowest hashes of the id; the driver gets their
-    features, ``bound`` rows of 20 numbers."""
+    """The model from at most ``bound`` labelled rows (see ``labelled_sample``); the driver gets their features, ``bound`` rows
+    of 20 numbers."""
     with Scratch(texts.sparkSession) as scratch:
         chosen = labels.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
-        chosen = chosen.where("id is not null and label is not null").dropDuplicates(["id"])
-        chosen = scratch.save(chosen.orderBy(F.xxhash64("id"), "id").limit(bound))
-        rows = measured(texts.join(small(chosen), "id")).select("id", "label", "x").collect()
+        rows = measured(scratch.save(labelled_sample(texts, scratch.save(chosen), bound))).select("id", "label", "x").collect()
     rows.sort(key=lambda r: (r.id, list(r.x)))
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r.label for r in rows], float))
@@ -98,7 +96,7 @@ def quality_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure()
-        for batch in batches:
+        for batch in parts(batches):
             x = np.array([measure(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 

@@ -27,13 +27,13 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 IS_BREAK = byte_table(BREAKS)
 IS_WORD = byte_table(BREAKS + b" \t", inverted=True)
 CUT = re.compile(b"[" + re.escape(BREAKS) + b"]")
-CHUNK = 4 << 20  # bytes of text in a chunk
+CHUNK = 2 << 20  # bytes of text in a chunk
 HELD = 4 * CHUNK  # bytes a task holds back for chunks of several languages
 SIDE = 512  # words along a tile
 DENSE = SIDE * SIDE // 8  # pairs of a chunk that make a tile dense
-TILES = 32  # dense tiles a task holds
+TILES = 8  # dense tiles a task holds
 LISTED = 1 << 20  # cells of sparse tiles a task holds
-MOST_ROWS, MOST_BYTES = 1 << 20, 32 << 20  # numbered units that may go to the tasks; beyond, they are joined
+MOST_ROWS, MOST_BYTES = 3 << 19, 32 << 20  # numbered units that may go to the tasks; beyond, they are joined
 
 
 def chunks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -84,6 +84,7 @@ def chunks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         yield flushed(max(sizes, key=sizes.get))
         for lang in list(held):
             yield flushed(lang)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
@@ -137,17 +138,17 @@ class PairCounts:
     def full(self) -> bool:
         return len(self.tiles) > self.most or len(self.cells) > self.listed
 
-    def drain(self) -> tuple[np.ndarray, np.ndarray]:
-        """Cells (first times size plus second) and counts of all pairs held, which are then forgotten."""
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Cells (first times size plus second) and counts of all pairs held, which are then forgotten; tile by tile, since
+        the cells of a tile as a list take several times its room."""
+        yield self.cells, self.counts
+        self.cells, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         across = -(-self.size // self.side)
-        cells, counts = [self.cells], [self.counts]
-        for tile, dense in self.tiles.items():
+        while self.tiles:
+            tile, dense = self.tiles.popitem()
             cell = np.flatnonzero(dense)
             first, second = tile // across * self.side + cell // self.side, tile % across * self.side + cell % self.side
-            cells.append(first * self.size + second)
-            counts.append(dense[cell])
-        self.tiles, self.cells, self.counts = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(cells), np.concatenate(counts)
+            yield first * self.size + second, dense[cell]
 
 
 def adjacent(ids: np.ndarray) -> np.ndarray:
@@ -161,8 +162,9 @@ def counted(level: DataFrame, ids: Callable[[pa.RecordBatch, int], np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = PairCounts(size)
 
-        def drained() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in counts.drain()], names=["cell", "n"])
+        def drained() -> Iterator[pa.RecordBatch]:
+            for part in counts.drain():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["cell", "n"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -170,8 +172,8 @@ def counted(level: DataFrame, ids: Callable[[pa.RecordBatch, int], np.ndarray],
                 at = adjacent(numbers)
                 counts.add(numbers[at], numbers[at + 1])
                 if counts.full:
-                    yield drained()
-        yield drained()
+                    yield from drained()
+        yield from drained()
 
     return level.mapInArrow(run, "cell long, n long")
 

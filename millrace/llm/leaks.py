@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.licenses import WORD_BYTES as WORD_MAP
-from millrace.llm.tables import text_bytes
+from millrace.llm.tables import parts, text_bytes
 from millrace.llm.words import SPACES, Hasher, byte_table, mix, spans
 
 EDITS = 0.2  # most edits, as a share of an item's words
@@ -256,7 +256,7 @@ def _chunks(texts: Sequence[bytes], hasher: Hasher) -> Iterator[list[np.ndarray]
 def _finder(ids: list, items: Items) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches):
             found = [f for chunk in _chunks(batch.column(1).to_pylist(), hasher) for f in items.find(chunk)]
             rows = [(doc, ids[item], *match) for doc, f in zip(batch.column(0).to_pylist(), found) for item, *match in f]
             columns = list(zip(*rows)) if rows else [()] * 5
@@ -272,7 +272,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def keeping(items: Items) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
-            for batch in batches:
+            for batch in parts(batches):
                 texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
                 clean = [not f for chunk in _chunks(texts, hasher) for f in items.find(chunk)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -21,9 +21,11 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw_of(id_col: str, seed: int) -> Column:
-    """A number below 16^6 that depends on the id and the seed alone."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+def draw_of(id_col: str, text_col: str, seed: int) -> Column:
+    """A number below 16^6 that depends on the id, the text and the seed alone, so that rows that share an id, or have none,
+    are drawn one by one unless they are equal."""
+    text = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), text)
     return F.conv(F.substring(F.md5(name), 1, 2 * DIGITS), 16, 10).cast("long")
 
 
@@ -108,7 +110,7 @@ def mix_sizes(
     with Scratch(docs.sparkSession) as scratch:
         sized = scratch.save(docs.select(
             F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), *keyed(source_col),
-            size_of(text_col).alias("size"), draw_of(id_col, seed).alias("draw")))
+            size_of(text_col).alias("size"), draw_of(id_col, text_col, seed).alias("draw")))
         found = plan(sized, weights, epochs, scratch)
         out = sized.join(small(scratch.save(found)), ["_no_source", "_source"]).select(
             "doc_id", "source", "size", "source_size", "target", repeats())
@@ -121,10 +123,10 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns and ``repeat`` (1, 2, ...)."""
     with Scratch(docs.sparkSession) as scratch:
-        sized = scratch.save(docs.select(*keyed(source_col), size_of(text_col).alias("size"), draw_of(id_col, seed).alias("draw")))
+        sized = scratch.save(docs.select(*keyed(source_col), size_of(text_col).alias("size"), draw_of(id_col, text_col, seed).alias("draw")))
         found = small(scratch.save(plan(sized, weights, epochs, scratch)))
         row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed(source_col),
-                          draw_of(id_col, seed).alias("draw"))
+                          draw_of(id_col, text_col, seed).alias("draw"))
         taken = row.join(found, ["_no_source", "_source"]).select("row", repeats()).where("repeats > 0")
         # a new name where the documents have a column of that name
         name = next(n for n in ("repeat", *(f"repeat_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)

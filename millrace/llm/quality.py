@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.tables import map_rows, text_bytes
+from millrace.llm.tables import map_rows, parts, text_bytes
 from millrace.llm.words import SPACES, WORD_BYTES, Hasher, byte_table, spans
 
 SYMBOLS = b"#*$%&|<>"
@@ -118,7 +118,7 @@ def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([rules.measure((t or "").encode())[-1] for t in texts], pa.bool_()))
 

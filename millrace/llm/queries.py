@@ -130,7 +130,7 @@ def _mixing_sql() -> str:
     return f"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::bigint as size,
-    ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, {digits}))::bigint as draw
+    ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, {digits}))::bigint as draw
   from documents),
 sources as (
   select source, sum(size)::bigint as source_size,

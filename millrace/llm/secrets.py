@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.grammar import Automaton
+from millrace.llm import tables
 from millrace.llm.tables import map_rows, text_bytes
 from millrace.llm.words import byte_table, spans
 
@@ -165,7 +166,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(automata)
-        for batch in batches:
+        for batch in tables.parts(batches):
             at = batch.schema.get_field_index(text_col)
             texts = [
                 t if t is None else scanner.masked(t.encode(), mask.encode()).decode() for t in batch.column(at).to_pylist()

@@ -51,6 +51,17 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
+def labelled_sample(texts: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """(id, text, label): at most ``bound`` labelled rows of texts (id, text), one for each of the ids with the lowest hashes.
+
+    An id with several labels has the more frequent one, 1 if both are; of rows that share an id the text with the lowest
+    hash counts. Null ids and null labels are left out."""
+    known = labels.where("id is not null and label is not null").groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
+    with_label = texts.join(small(chosen), "id")
+    return with_label.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "label")
+
+
 def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id`` and ``text`` only, the text as UTF-8 bytes and empty where it is null."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
@@ -73,6 +84,11 @@ def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]
         start = stop
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | None]], schema: str) -> DataFrame:
     """One output row for each input row through Arrow batches. ``make`` runs once a task and returns the row function,
     which gets the input columns in order and returns the output columns in order (None: no row)."""

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import Scratch, map_rows, small, text_bytes
+from millrace.llm.tables import Scratch, labelled_sample, map_rows, text_bytes
 from millrace.session import write_and_read
 
 # Common insults, and words that address a person, in the languages of the corpus.
@@ -135,11 +135,10 @@ def scored(docs: DataFrame, lexicon: Mapping[str, float], keep: tuple[str, ...]
 
 
 def bounded_sample(texts: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(id, text, label, part) of at most ``bound`` labelled rows, those with the lowest hashes of the id; part is a hash
-    below 100 that says what a row is used for."""
-    chosen = labels.where("id is not null and label is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(bound)
+    """(id, text, label, part) of at most ``bound`` labelled rows (see ``labelled_sample``); part is a hash below 100 that says
+    what a row is used for."""
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(100)).cast("int")
-    return texts.join(small(chosen), "id").withColumn("part", part)
+    return labelled_sample(texts, labels, bound).withColumn("part", part)
 
 
 def toxicity_scores(

@@ -85,8 +85,9 @@ def test_pair_counts_of_tiles_and_lists():
     total = Counter()
 
     def drained():
-        for cell, n in zip(*(v.tolist() for v in counts.drain())):
-            total[divmod(cell, 100)] += n
+        for cells, held in counts.drain():
+            for cell, n in zip(cells.tolist(), held.tolist()):
+                total[divmod(cell, 100)] += n
 
     for at in range(0, 20_000, 2_500):
         counts.add(first[at : at + 2_500], second[at : at + 2_500])

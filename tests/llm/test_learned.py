@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -147,7 +148,7 @@ def test_page_text(spark):
     ])
     w = "word " * 29 + "word"
     assert got == [
-        "", "", "", "", "A & B\nx y z €\nq link", f"Head\n{w}\nshort\n{w}", "a\nf", "text", "deep", "one\ntwo\n3\n4\na\nb",
+        "", "", "", "plain", "A & B\nx y z €\nq link", f"Head\n{w}\nshort\n{w}", "a\nf", "text", "deep", "one\ntwo\n3\n4\na\nb",
         "a < b cd <p> &unknown; ©",
     ]
 
@@ -170,6 +171,48 @@ def test_tree_learns_its_table():
     assert fit_tree(np.zeros((4, 2)), np.array([0.0, 1, 1, 1]), 3) == (0.75,)
 
 
+def test_held_out_blocks(monkeypatch):
+    """Each labelled page by a tree that has learned from the others."""
+    every, hits, total = pages.LABELLED, 0, 0
+    for i, page in enumerate(every):
+        monkeypatch.setattr(pages, "LABELLED", every[:i] + every[i + 1 :])
+        tree = pages.learned_tree()
+        monkeypatch.setattr(pages, "LABELLED", [page])
+        for row in pages.labelled_table():
+            hits += (predict(tree, tuple(row[:-1])) > 0.5) == bool(row[-1])
+            total += 1
+    assert hits / total > 0.9
+
+
+def test_density_and_names_decide():
+    tree = pages.learned_tree()
+    w = " ".join(["word"] * 30)
+    links = "".join(f"<li><a>link {i}</a></li>" for i in range(5))
+    for page, want in (
+        (f"<main><ul>{links}</ul><p>Some text is said here.</p></main>", "Some text is said here."),
+        ("<article><p>Text of it.</p><p><a>Buy now cheap shoes</a></p><p>More.</p></article>", "Text of it.\nMore."),
+        (f"<h1>T</h1><p>{w}</p><p>He left.</p>", f"T\n{w}\nHe left."),
+        ("<h1>At dawn</h1><p>Hello.</p><p>Who?</p><p>Me.</p>", "At dawn\nHello.\nWho?\nMe."),
+        ('<article><section id="social-history"><p>a b</p></section><div class="notice-of-change">c</div>'
+         '<div class="product-comment-free">d</div><div class="x ad-slot">e</div></article>', "a b\nc\nd"),
+        ("<p>a</p><!-- open <p>b</p>", "a"), ("a <b", "a <b"), ("a <!-- b", "a"),
+    ):
+        assert pages.main_text(page, tree) == want
+
+
+def test_long_pages_take_linear_time():
+    tree = pages.learned_tree()
+    for part, count in (("<div>", 60_000), ("</span2>", 60_000), ('<a "', 100_000), ("<li><x>", 40_000), ("<main>", 60_000),
+                        ("<!--", 100_000), ("<script ", 60_000), ("<p a='", 60_000)):
+        start = time.perf_counter()
+        pages.main_text("<div>" * 20_000 + part * count, tree)
+        assert time.perf_counter() - start < 15, part
+
+
+def test_empty_table_of_pages(spark):
+    assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 # --- learned scores ---------------------------------------------------------------------------------------
 
 def ranked(rows, label):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -280,3 +281,22 @@ def test_seeds_lose_no_notice():
             assert label in labels or labels, (notice, "".join(text))
 
 
+
+
+def test_many_notices_take_linear_time():
+    finder = licenses.Finder()
+    for text in ("mit licens x ", "all right reserved ", "mit license "):
+        start = time.perf_counter()
+        found = finder.find((text * 30_000).encode())
+        assert time.perf_counter() - start < 30 and found[0] >= 60_000
+    few = finder.find(b"mit licens x " * 3)
+    assert [s.split(":")[1:3] for s in few[-1]] == [["0", "2"], ["3", "5"], ["6", "8"]]
+
+
+def test_rows_that_share_an_id_are_drawn_one_by_one(spark):
+    """Without ids, each source's taken words still come near its target."""
+    rows = [(None, f"{i} " * 50, "a", 0, None, 0) for i in range(200)] + [(7, f"{i} " * 400, "b", 0, None, 0) for i in range(200)]
+    found = mixing.mix_sizes(spark.createDataFrame(rows, DOCS)).collect()
+    for source_size in (10_000, 80_000):
+        mine = [r for r in found if r.source_size == source_size]
+        assert len(mine) == 200 and abs(sum(r.taken for r in mine) - mine[0].target) <= source_size / 200
