@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace.functions import ratio_change
 from millrace.operators.ordering import ordered_index, with_previous
+from millrace.session import write_and_read
 
 TRADING = ("ticker", "date", "close")
 LOOKBACK = 60
 HORIZONS = (1, 3, 7)
+TINY = 1e-12  # a variance below this share of the mean square is rounding
 
 
 # --- keyed series -----------------------------------------------------------------------------------------
@@ -148,24 +152,70 @@ def pivot_series(df: DataFrame, keys: Sequence[str], key: str = "ticker", order:
     return chosen.groupBy(order).pivot(key, list(keys)).agg(F.first(value))
 
 
+WIDTH = 256  # keys of a column block
+
+
 def correlation(
-    df: DataFrame, keys: Sequence[str], key: str = "ticker", order: str = "date", value: str = "close",
-    pad: bool = False,
+    df: DataFrame, keys: Sequence[str] | DataFrame | None = None, key: str = "ticker", order: str = "date",
+    value: str = "close", pad: bool = False, width: int = WIDTH,
 ) -> DataFrame:
-    """(a, b, corr) of the grid returns of the listed keys over the dates both have; NULL when undefined.
+    """(a, b, corr) of the grid returns of the given keys (a list, a table with a column ``key``, or all) over the dates both
+    have; a row for each ordered pair with a common date, NULL when undefined.
 
-    A date holds at most one row per listed key, so its pairs are formed inside the row and summed before the
-    shuffle; the result is one row per ordered pair of listed keys.
+    Keys are dealt into blocks of columns. A task gets two blocks of the date x key matrix and computes the moments of all
+    their pairs as products of the values, their squares and the marks of what is there; neither keys nor pairs pass through
+    the driver, and pairs are rows only in the result.
     """
-    chosen = df.filter(F.col(key).isin(*keys))
-    reject_duplicates(chosen, [order, key])
-    returns = grid_return(chosen, pad, key, order, value).filter(F.col("grid_return").isNotNull())
-    cell = F.struct(F.col(key).alias("k"), F.col("grid_return").alias("r"))
-    wide = returns.groupBy(order).agg(F.collect_list(cell).alias("a"))
-    pairs = wide.select(F.explode("a").alias("a"), F.col("a").alias("all")).select("a", F.explode("all").alias("b"))
-    x, y = F.col("a.r"), F.col("b.r")
-    corr = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return pairs.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).agg(corr.alias("corr"))
+    if isinstance(keys, DataFrame):
+        df = df.join(keys.select(key).distinct(), key, "left_semi")
+    elif keys is not None:
+        df = df.filter(F.col(key).isin(*keys))
+    reject_duplicates(df, [order, key])
+    returns = grid_return(df, pad, key, order, value).filter(F.col("grid_return").isNotNull())
+    returns = write_and_read(returns.select(F.col(key).alias("_key"), F.col(order).alias("_date"), F.col("grid_return").alias("_r")))
+    # Taking off a key's first return keeps the products small, and leaves exact zeros of a constant one.
+    first = returns.groupBy("_key").agg(F.min_by("_r", "_date").alias("_base"))
+    numbered = write_and_read(ordered_index(first, ["_key"], "_at"))
+    day = F.datediff("_date", F.lit("1970-01-01"))
+    cells = returns.join(numbered, "_key").select(
+        F.floor(F.col("_at") / width).alias("_block"), F.struct((F.col("_at") % width).cast("int").alias("c"), day.alias("d"),
+                                                               (F.col("_r") - F.col("_base")).alias("r")).alias("_cell"))
+    blocks = write_and_read(cells.groupBy("_block").agg(F.collect_list("_cell").alias("_cells")))  # width x dates at most
+    names = write_and_read(numbered.select("_at", "_key"))
+    last = blocks.agg(F.max("_block")).scalar()
+    partners = blocks.withColumn("_other", F.explode(F.sequence(F.col("_block"), last)))
+    pairs = partners.join(blocks.select(F.col("_block").alias("_other"), F.col("_cells").alias("_others")), "_other")
+
+    def table(cells, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, there = np.zeros((len(days), width)), np.zeros((len(days), width))
+        row = np.searchsorted(days, [x["d"] for x in cells])
+        column = [x["c"] for x in cells]
+        values[row, column], there[row, column] = [x["r"] for x in cells], 1.0
+        return values, there
+
+    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i, j, mine, other in zip(pdf["_block"], pdf["_other"], pdf["_cells"], pdf["_others"]):
+                days = np.unique([x["d"] for x in [*mine, *other]])
+                (x, p), (y, q) = table(mine, days), table(other, days)
+                n = p.T @ q
+                left, right, both = x.T @ q, p.T @ y, x.T @ y
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mean_xx, mean_yy = (x * x).T @ q / n, p.T @ (y * y) / n
+                    var_x, var_y = mean_xx - (left / n) ** 2, mean_yy - (right / n) ** 2
+                    flat = (var_x <= TINY * mean_xx) | (var_y <= TINY * mean_yy)
+                    corr = np.where(flat, np.nan, (both / n - left * right / n**2) / np.sqrt(var_x * var_y))
+                a, b = np.nonzero(n)
+                for s in range(0, len(a), 65_536):
+                    u, v = a[s : s + 65_536], b[s : s + 65_536]
+                    out = pd.DataFrame({"a": i * width + u, "b": j * width + v, "corr": corr[u, v]})
+                    yield out if i == j else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+
+    found = pairs.mapInPandas(moments, "a long, b long, corr double")
+    found = found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    for side in ("a", "b"):
+        found = found.join(names.select(F.col("_at").alias(side), F.col("_key").alias(f"_{side}")), side)
+    return found.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "corr")
 
 
 # --- one ordered series -----------------------------------------------------------------------------------

@@ -148,7 +148,7 @@ def grid_return_padded(spark, sf):
     from grid_returns a join grid_returns b on a.date = b.date where a.ret is not null and b.ret is not null group by 1, 2)
     select a, b, round(case when isnan(corr) then null else corr end, 6) + 0.0 as corr from c""")
 def correlation(spark, sf):
-    keys = [r[0] for r in view(spark, sf, "nation").select("n_name").collect()]  # the picked tickers
+    keys = view(spark, sf, "nation").select(F.col("n_name").alias("ticker"))  # the picked tickers
     return r6(series.correlation(prices(spark, sf), keys), "corr")
 
 

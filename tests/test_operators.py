@@ -4,6 +4,8 @@ import json
 import random
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -450,3 +452,31 @@ def test_csv_of_odd_files(spark, tmp_path):
     assert sources.read_table(spark, str(tmp_path / "b.csv"), "a int, b string").count() == 0
     (tmp_path / "c.csv").write_text("")
     assert sources.read_table(spark, str(tmp_path / "c.csv"), "a int").count() == 0
+
+
+# --- correlation in blocks ----------------------------------------------------------------------------------
+
+def test_correlation_of_many_keys(spark):
+    """Hundreds of keys in several blocks, with gaps, a constant one and two without common dates."""
+    draw = np.random.default_rng(5)
+    dates = pd.date_range("2024-01-01", periods=40).strftime("%Y-%m-%d")
+    wide = pd.DataFrame(100 * np.exp(np.cumsum(draw.normal(size=(40, 130)) * 0.02, axis=0)), index=dates, columns=[f"k{i:03d}" for i in range(130)])
+    wide = wide.where(draw.random(wide.shape) > 0.1)
+    wide["k005"] = 7.0
+    wide.loc[dates[:20], "k010"], wide.loc[dates[20:], "k011"] = np.nan, np.nan
+    rows = [(k, d, float(x)) for d, r in wide.iterrows() for k, x in r.items() if x == x]
+    df = spark.createDataFrame(rows, "ticker string, date string, close double")
+    keys = spark.createDataFrame([(f"k{i:03d}",) for i in range(0, 130)] + [("k999",)], "ticker string")
+    got = {(r.a, r.b): r.corr for r in series.correlation(df, keys, width=32).collect()}
+    returns = wide.pct_change(fill_method=None)
+    n = returns.notna().astype(float).T @ returns.notna().astype(float)
+    want = returns.corr()
+    assert set(got) == {(a, b) for a in n for b in n if n.loc[a, b] > 0}
+    for (a, b), corr in got.items():
+        if "k005" in (a, b) or n.loc[a, b] == 1:
+            assert corr is None
+        else:
+            assert abs(corr - want.loc[a, b]) < 1e-9
+    one = {(r.a, r.b): r.corr for r in series.correlation(df, ["k000", "k001"]).collect()}
+    assert len(one) == 4 and abs(one["k000", "k001"] - got["k000", "k001"]) < 1e-12
+    assert series.correlation(df.limit(0)).count() == 0
