@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster, features, neighbours, profile, regress
-from millrace.plans.fixtures import view
+from millrace.plans.fixtures import scratch_path, view
 from millrace.session import cut_lineage, in_pieces
 
 QUERIES: dict = {}
@@ -282,3 +283,35 @@ def blanked(spark, sf):
 def knn_blank(spark, sf):
     rows = blanked(spark, sf)
     return r6(neighbours.nearest_cosine(rows, rows, 10, "vec_id", "vec_id", "embedding", exclude_same=True), "score")
+
+
+@query("kmeans_centres", """with g as (select n_regionkey as c, 100.0 * n_regionkey + s_acctbal / 1000 as x, 10.0 * n_regionkey + n_nationkey / 25 as y
+    from supplier join nation on s_nationkey = n_nationkey)
+    select cast(row_number() over (order by c) - 1 as int) as cluster, round(avg(x), 6) as x, round(avg(y), 6) as y, count(*) as size
+    from g group by c""")
+def kmeans_centres(spark, sf):
+    """Suppliers of each region around a place of their own, far from the others: the centres are those of the regions."""
+    rows = view(spark, sf, "supplier").join(view(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        (F.col("n_regionkey") * 100 + F.col("s_acctbal") / 1000).alias("x"), (F.col("n_regionkey") * 10 + F.col("n_nationkey") / 25).alias("y"))
+    regions = view(spark, sf, "nation").select("n_regionkey").distinct().count()
+    return r6(cluster.kmeans(rows, ["x", "y"], k=regions)[1].select("cluster", "x", "y", "size"), "x", "y")
+
+
+@query("linkage_total", """select count(*) - 1 as merges, round(var_pop(s_acctbal / 1000) * count(*) + var_pop(cast(s_nationkey as double)) * count(*), 3)
+    as squares from supplier""")
+def linkage_total(spark, sf):
+    """The squared heights of all merges are twice the sum of squares around the mean."""
+    merges = cluster.hierarchical(view(spark, sf, "points"), ["x", "y"], "id")[1]
+    return merges.agg(F.count("*").alias("merges"), F.round(F.sum(F.col("height") ** 2) / 2, 3).alias("squares"))
+
+
+@query("model_roundtrip", f"""with {SPLIT} select id, round(i + s * age, 6) as prediction from capped,
+    (select regr_slope(calories_capped, age) as s, regr_intercept(calories_capped, age) as i from capped)""")
+def model_roundtrip(spark, sf):
+    """A fitted model written and read again predicts as the line through the points does."""
+    rows = features.iqr_cap(workouts(spark, sf), "calories", name=TARGET)
+    fitted = LinearRegression(featuresCol="_x", labelCol=TARGET).fit(features.assemble(rows, ["age"], "_x"))
+    path = scratch_path(spark)
+    regress.save_model(fitted, path)
+    model = regress.load_model(LinearRegressionModel, path)
+    return r6(model.transform(features.assemble(rows, ["age"], "_x")).select("id", "prediction"), "prediction")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from millrace import functions as fn, sources
 from millrace.operators import clean, filters, profile, rollups
 from millrace.plans import sqltext as q
 from millrace.plans.fixtures import scratch_path, view
+from millrace.session import write_and_read
 
 NUMERIC = ["age", "weight", "max_bpm", "calories"]
 PLACES = ["Brand#11", "Brand#23", "Brand#42"]
@@ -75,6 +78,49 @@ def json_roundtrip(spark, sf):
     return sources.read_json(spark, path, raw.schema, array=False).select(*raw.columns)
 
 
+@query("json_array", f"select {RAW_COLUMNS} from restaurants_raw")
+def json_array(spark, sf):
+    """Files that hold one JSON array each."""
+    raw = view(spark, sf, "restaurants_raw")
+    part = F.pmod(F.xxhash64("row_id"), F.lit(16)).alias("part")
+    path = scratch_path(spark)
+    arrays = raw.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*raw.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return sources.read_json(spark, path, raw.schema).select(*raw.columns)
+
+
+@query("typed_tables", """select cast(row_id as varchar) as row_id, name, cast(votes as bigint) as votes, cast(null as varchar) as note
+    from restaurants_raw union all select cast(row_id as varchar), name, null, null from restaurants_raw where row_id % 50 = 0""")
+def typed_tables(spark, sf):
+    """A table with declared types, rows appended with some of its columns, read back."""
+    raw = view(spark, sf, "restaurants_raw")
+    name = f"typed_{uuid.uuid4().hex}"
+    sources.save_typed_table(raw, name, T.StructType.fromDDL("row_id string, name string, votes bigint, note string"))
+    sources.append_columns(raw.filter("row_id % 50 = 0").select("row_id", "name"), name, ["row_id", "name"])
+    back = write_and_read(spark.table(name))
+    spark.sql(f"drop table {name}")
+    return back
+
+
+@query("files_roundtrip", "select page_id, html as text from pages")
+def files_roundtrip(spark, sf):
+    """A folder for each page with its text as one file."""
+    path = scratch_path(spark)
+    view(spark, sf, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(path)
+    found = sources.document_text(sources.read_documents(spark, path, recursive=True))
+    return found.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"),
+                        F.expr("substr(text, 1, length(text) - 1)").alias("text"))  # without the line's end
+
+
+@query("tidy_columns", """select row_id as "Row_id", coalesce(rate_raw, 'none') as "Rating", votes as "Votes" from restaurants_raw""")
+def tidy_columns(spark, sf):
+    raw = view(spark, sf, "restaurants_raw").select(
+        F.col("row_id").alias(" ROW_ID "), F.col("rate_raw").alias("rate raw"), F.col("votes").alias("VOTES"), "name", "location")
+    tidy = clean.rename_columns(clean.tidy_headers(raw), {"Rate raw": "Rating"})
+    kept = clean.drop_columns(clean.keep_columns(tidy, ["Row_id", "Rating", "Votes", "Name", "Absent"]), ["Name", "Unknown"])
+    return clean.fill_constant(kept, "none", ["Rating"])
+
+
 @query("snapshot_roundtrip", "select order_id, cast(order_date as varchar) as order_date, "
        "cast(order_value as double) as order_value, payment_method from orders_data")
 def snapshot_roundtrip(spark, sf):
