@@ -27,10 +27,11 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 IS_BREAK = byte_table(BREAKS)
 IS_WORD = byte_table(BREAKS + b" \t", inverted=True)
 CUT = re.compile(b"[" + re.escape(BREAKS) + b"]")
-CHUNK = 2 << 20  # bytes of text in a chunk
-HELD = 4 * CHUNK  # bytes a task holds back for chunks of several languages
+CHUNK = 1 << 19  # bytes of text in a chunk
+HELD = 16 * CHUNK  # bytes a task holds back for chunks of several languages
 SIDE = 512  # words along a tile
-DENSE = SIDE * SIDE // 8  # pairs of a chunk that make a tile dense
+GATHERED = 1 << 19  # pairs counted at a time
+DENSE = SIDE * SIDE // 8  # of these, pairs that make a tile dense
 TILES = 8  # dense tiles a task holds
 LISTED = 1 << 20  # cells of sparse tiles a task holds
 MOST_ROWS, MOST_BYTES = 3 << 19, 32 << 20  # numbered units that may go to the tasks; beyond, they are joined
@@ -156,31 +157,46 @@ def adjacent(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
 
 
-def counted(level: DataFrame, ids: Callable[[pa.RecordBatch, int], np.ndarray], size: int) -> DataFrame:
+Numbers = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
+
+
+def counted(level: DataFrame, ids: Numbers, size: int) -> DataFrame:
     """(cell, n) of adjacent units in the chunks; a cell may have several rows for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = PairCounts(size)
+        first, second = [], []
+
+        def add() -> None:
+            counts.add(np.concatenate(first), np.concatenate(second))
+            first.clear()
+            second.clear()
 
         def drained() -> Iterator[pa.RecordBatch]:
             for part in counts.drain():
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["cell", "n"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                numbers = ids(batch, row)
+            for numbers in ids(batch):
                 at = adjacent(numbers)
-                counts.add(numbers[at], numbers[at + 1])
-                if counts.full:
-                    yield from drained()
+                first.append(numbers[at])
+                second.append(numbers[at + 1])
+                if sum(map(len, first)) >= GATHERED:
+                    add()
+                    if counts.full:
+                        yield from drained()
+        if first:
+            add()
         yield from drained()
 
     return level.mapInArrow(run, "cell long, n long")
 
 
-def frequent_pairs(level: DataFrame, ids: Callable, size: int, least: int) -> DataFrame:
-    """(first, second, n) of the pairs of adjacent units that occur ``least`` times or more."""
-    found = counted(level, ids, size).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def frequent_pairs(level: DataFrame, ids: Numbers, size: int, least: int) -> DataFrame:
+    """(first, second, n) of the pairs of adjacent units that occur ``least`` times or more.
+
+    The tasks have summed up already what they could, so the rows are dealt out before they are summed again."""
+    found = counted(level, ids, size).repartition("cell").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     wide = F.lit(max(size, 1)).cast("long")
     first = F.call_function("div", F.col("cell"), wide).alias("first")
     return found.select(first, (F.col("cell") % wide).alias("second"), "n")
@@ -199,15 +215,18 @@ def looked_up(level: DataFrame, own: DataFrame, units: DataFrame, keys: list[str
     return level.join(found, "chunk", "left").select("chunk", "codes", F.col("ids.place").alias("places"), F.col("ids.id").alias("ids"))
 
 
-def from_lists(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """The numbers of a chunk made by ``looked_up``."""
-    codes = np.frombuffer(batch.column(batch.schema.get_field_index("codes"))[row].as_py(), np.int32)
-    places, ids = (
-        np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64)
-        for x in (batch.column(batch.schema.get_field_index(name))[row] for name in ("places", "ids")))
-    table = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)
-    table[places] = ids
-    return table[codes]  # code -1 takes the last place, which no unit has
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def from_lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The numbers of chunks made by ``looked_up``."""
+    for codes, places, ids in zip(column(batch, "codes"), column(batch, "places"), column(batch, "ids")):
+        codes = np.frombuffer(codes.as_py(), np.int32)
+        table = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)
+        if places.is_valid:
+            table[np.asarray(places.values, np.int64)] = np.asarray(ids.values, np.int64)
+        yield table[codes]  # code -1 takes the last place, which no unit has
 
 
 def collocations(
@@ -236,7 +255,7 @@ def collocations(
         words = numbered(words.where(F.col("n") >= least), ["lang", "word"], scratch)
         count, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word") + F.octet_length("lang")), F.lit(0))).first()
         if count <= most_rows and size <= most_bytes:
-            coded, word_ids = level.select("lang", "words", "codes"), word_finder(words.toArrow())
+            coded, word_ids = level.select("lang", "words", "codes"), word_finder(words.select("lang", "word", "id").toArrow())
         else:
             own = level.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
             coded, word_ids = scratch.save(looked_up(level, own, words, ["lang", "word"])), from_lists
@@ -254,60 +273,70 @@ def collocations(
         return write_and_read(ranked(words, pairs, triples, totals, inside_percent, top, scratch))
 
 
-def word_finder(table: pa.Table) -> Callable:
-    """Numbers of a chunk's words from a table of all numbered ones."""
+def word_finder(table: pa.Table) -> Numbers:
+    """Numbers of the words of chunks from a table of all numbered ones."""
     langs = {}
     for lang in pc.unique(table["lang"]).to_pylist():
         mine = table.filter(pc.equal(table["lang"], lang))
         langs[lang] = mine["word"].combine_chunks(), np.asarray(mine["id"], np.int64)
 
-    def ids(batch: pa.RecordBatch, row: int) -> np.ndarray:
-        lang, words, codes = (batch.column(batch.schema.get_field_index(c))[row] for c in ("lang", "words", "codes"))
-        known, numbers = langs.get(lang.as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
-        place = np.asarray(pc.fill_null(pc.index_in(words.values, value_set=known.cast(words.values.type)), -1), np.int64)
-        table = np.append(numbers, -1)[place] if len(place) else np.zeros(0, np.int64)
-        return np.append(table, -1)[np.frombuffer(codes.as_py(), np.int32)]
+    def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        rows: dict[str, list[int]] = {}
+        for row, lang in enumerate(column(batch, "lang").to_pylist()):
+            rows.setdefault(lang, []).append(row)
+        words, codes = column(batch, "words"), column(batch, "codes")
+        for lang, mine in rows.items():
+            listed = [words[row].values for row in mine]
+            numbers = np.full(sum(map(len, listed)), -1, np.int64)
+            if lang in langs:  # all chunks of a language at once: each look-up makes a table of the known words
+                known, known_ids = langs[lang]
+                place = pc.index_in(pa.concat_arrays(listed), value_set=known.cast(listed[0].type))
+                numbers = np.append(known_ids, -1)[np.asarray(pc.fill_null(place, -1), np.int64)]
+            ends = np.cumsum([len(x) for x in listed])
+            for row, low, high in zip(mine, ends - [len(x) for x in listed], ends):
+                yield np.append(numbers[low:high], -1)[np.frombuffer(codes[row].as_py(), np.int32)]
 
     return ids
 
 
-def pair_finder(word_ids: Callable, table: pa.Table, size: int) -> Callable:
-    """Numbers of the frequent pairs that begin at each place of a chunk."""
+def pair_finder(word_ids: Numbers, table: pa.Table, size: int) -> Numbers:
+    """Numbers of the frequent pairs that begin at each place of chunks."""
     cells = np.asarray(table["first"], np.int64) * size + np.asarray(table["second"], np.int64)
     order = np.argsort(cells)
     cells, numbers = cells[order], np.asarray(table["id"], np.int64)[order]
 
-    def ids(batch: pa.RecordBatch, row: int) -> np.ndarray:
-        words = word_ids(batch, row)
-        at = adjacent(words)
-        out = np.full(len(words), -1, np.int64)
-        if len(cells):
-            mine = words[at] * size + words[at + 1]
-            place = np.minimum(np.searchsorted(cells, mine), len(cells) - 1)
-            out[at] = np.where(cells[place] == mine, numbers[place], -1)
-        return out
+    def ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for words in word_ids(batch):
+            at = adjacent(words)
+            out = np.full(len(words), -1, np.int64)
+            if len(cells):
+                mine = words[at] * size + words[at + 1]
+                place = np.minimum(np.searchsorted(cells, mine), len(cells) - 1)
+                out[at] = np.where(cells[place] == mine, numbers[place], -1)
+            yield out
 
     return ids
 
 
-def pair_chunks(level: DataFrame, ids: Callable, size: int) -> DataFrame:
+def pair_chunks(level: DataFrame, ids: Numbers, size: int) -> DataFrame:
     """The chunks as places in a list of their distinct pairs of adjacent units, one that begins at each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row in range(batch.num_rows):
-                numbers = ids(batch, row)
+            for numbers in ids(batch):
                 at = adjacent(numbers)
                 cells, place = np.unique(numbers[at] * size + numbers[at + 1], return_inverse=True)
                 codes = np.full(len(numbers), -1, np.int32)
                 codes[at] = place
                 ends = pa.array([0, len(cells)], pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(batch.schema.get_field_index("chunk")).slice(row, 1),
+                    pa.array([number], pa.int64()),
                     pa.ListArray.from_arrays(ends, pa.array(cells // max(size, 1), pa.int64())),
                     pa.ListArray.from_arrays(ends, pa.array(cells % max(size, 1), pa.int64())),
                     pa.array([codes.tobytes()], pa.binary()),
                 ], names=["chunk", "first", "second", "codes"])
+                number += 1
 
     return level.mapInArrow(run, "chunk long, first array<long>, second array<long>, codes binary")
 

@@ -27,6 +27,7 @@ class Automaton:
         strings = list(strings)
         self.literal = os.path.commonprefix(strings)
         self.symbols = set("".join(strings))
+        self.lengths = {len(s) for s in strings}
         self.steps: dict[tuple[int, str], tuple[float, int]] = {}
         self.counts: list[dict[str, int]] = [{}]
         self.next: list[dict[str, int]] = [{}]
@@ -114,26 +115,14 @@ class Automaton:
             self.steps[state, symbol] = math.log(self._share(state, symbol)) - math.log(ordinary(symbol)), after
         return self.steps[state, symbol]
 
-    def best_part(self, string: str, starts: set[int], ends: set[int], shortest: int) -> tuple[float, int, int] | None:
-        """(score, start, end) of the part with the highest score of those long enough, in one pass: of the parts that
-        are in the same state only the best goes on."""
-        live: dict[int, tuple[float, int]] = {}
-        best = None
-        for i, symbol in enumerate([*string, END]):
-            if i in ends:
-                for state, (total, begin) in live.items():
-                    found = (total + self._step(state, END)[0], begin, i)
-                    if i - begin >= shortest and (best is None or found[0] > best[0]):
-                        best = found
-            if i in starts and live.get(0, (-1.0, 0))[0] < 0:
-                live[0] = (0.0, i)
-            on: dict[int, tuple[float, int]] = {}
-            for state, (total, begin) in live.items() if symbol != END else ():
-                more, after = self._step(state, symbol)
-                if total + more >= -40 and (after not in on or total + more > on[after][0]):
-                    on[after] = (total + more, begin)
-            live = on
-        return best
+    def scores(self, string: str) -> list[float]:
+        """The scores of all beginnings of a string, from the empty one on."""
+        state, total, out = 0, 0.0, []
+        for symbol in string:
+            out.append(total + self._step(state, END)[0])
+            more, state = self._step(state, symbol)
+            total += more
+        return [*out, total + self._step(state, END)[0]]
 
     def _share(self, state: int, symbol: str) -> float:
         counts = self.counts[state]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import string
@@ -28,6 +29,7 @@ HEX_BYTES = byte_table(b"0123456789abcdef")
 TOKEN_BYTES = byte_table((string.ascii_letters + string.digits + "+/_.=-").encode())
 DIGIT_BYTES = byte_table(string.digits.encode())
 LETTER_BYTES = byte_table(string.ascii_letters.encode())
+SHORTER, LONGER = 0.7, 1.5  # lengths of credentials with a literal beginning, as shares of the labelled ones
 JOINS = set("=/.-_+")  # characters of a run that may stand between a name, a path or a sentence and a credential
 LEADS = byte_table(bytes(range(0x80, 0xC0)), inverted=True)
 
@@ -67,6 +69,11 @@ def mixed(run: str) -> bool:
     return len(run) >= SHORTEST["learned"] and bool(DIGIT_BYTES[data].any() and LETTER_BYTES[data].any())
 
 
+def plain(part: str) -> bool:
+    """A word in one case, a number or a few characters."""
+    return len(part) < 4 or part.isdigit() or part.isalpha() and (part.islower() or part.isupper() or part.istitle())
+
+
 class Scanner:
     """Finds the spans of one text; offsets count code points, ends are exclusive."""
 
@@ -89,9 +96,6 @@ class Scanner:
         for s, e in zip(starts[long].tolist(), ends[long].tolist()):
             token = text[s:e].decode()
             over = sorted((max(x, s) - s, min(y, e) - s) for x, _, y in base if x < e and s < y)
-            if not over and mixed(token) and any(a.score(token) >= self.margin for a in self.automata):
-                found.append((s, 3, e))
-                continue
             at = 0
             for x, y in [*over, (e - s, e - s)]:
                 found += [(s + at + a, 3, s + at + b) for a, b in self.parts(token[at:x])] if x > at else []
@@ -100,30 +104,44 @@ class Scanner:
 
     def parts(self, run: str) -> list[tuple[int, int]]:
         """Non-overlapping parts of a run that beat the margin, the best first taken."""
-        todo, found = [(0, len(run))], []
-        while todo:
-            low, high = todo.pop()
-            part = run[low:high]
-            best = max(filter(None, (self._part(a, part) for a in self.automata)), default=None) if mixed(part) else None
-            if best:
-                found.append((low + best[1], low + best[2]))
-                todo += [(low, low + best[1]), (low + best[2], high)]
+        found: list[tuple[int, int]] = []
+        if mixed(run):
+            for _, start, end in sorted((c for a in self.automata for c in self._candidates(a, run)), key=lambda c: (-c[0], c[1:])):
+                at = bisect.bisect_left(found, (start,))
+                if (at == 0 or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
+                    found.insert(at, (start, end))
         return found
 
-    def _part(self, automaton: Automaton, run: str) -> tuple[float, int, int] | None:
-        """The automaton's best part. Parts cut only at characters its credentials do not hold go first, so that
-        a credential with such characters stays whole."""
-        literal, at = automaton.literal, -1
-        first = set()
-        while len(literal) > 2 and (at := run.find(literal, at + 1)) >= 0:
-            first.add(at)
+    def _candidates(self, automaton: Automaton, run: str) -> Iterator[tuple[float, int, int]]:
+        """(score, start, end) of the parts that have the format's length and likelihood.
+
+        A format with a literal beginning starts there, behind no letter or digit, and may be somewhat shorter or longer than
+        the labelled ones. Any other has their length, between characters it does not hold; behind a name or a path it may also
+        stand between characters it does hold, if all else in the run is plain words: in encoded data nothing is."""
+        literal, low, high = automaton.literal, min(automaton.lengths), max(automaton.lengths)
+        if len(literal) > 2:
+            low, high, at = max(SHORTEST["learned"], int(low * SHORTER)), int(high * LONGER), -1
+            while (at := run.find(literal, at + 1)) >= 0:
+                stop = at
+                while stop < min(len(run), at + high + 1) and run[stop] in automaton.symbols:
+                    stop += 1
+                if at and run[at - 1].isalnum():
+                    continue
+                scores = automaton.scores(run[at:stop])
+                ends = [e for e in range(at + low, min(stop, at + high) + 1) if e == len(run) or not run[e].isalnum()]
+                best = max(((scores[e - at], e) for e in ends), default=(-1.0, 0))
+                if best[0] >= self.margin and mixed(run[at : best[1]]):
+                    yield best[0], at, best[1]
+            return
         for joins in (JOINS - automaton.symbols, JOINS):
-            starts = {0, *first, *(i + 1 for i, x in enumerate(run) if x in joins)}
-            ends = {len(run), *(i for i, x in enumerate(run) if x in joins)}
-            best = automaton.best_part(run, starts, ends, SHORTEST["learned"])
-            if best and best[0] >= self.margin and mixed(run[best[1] : best[2]]):
-                return best
-        return None
+            cuts = [-1, *(i for i, x in enumerate(run) if x in joins), len(run)]
+            pieces = [(a + 1, b) for a, b in zip(cuts, cuts[1:])]
+            others = [run[a:b] for a, b in pieces if b - a not in automaton.lengths]
+            if joins == JOINS and not all(map(plain, others)):
+                return
+            for a, b in pieces:
+                if b - a in automaton.lengths and mixed(run[a:b]) and (score := automaton.score(run[a:b])) >= self.margin:
+                    yield score, a, b
 
     def scan(self, text: bytes) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
@@ -146,10 +164,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: doc_id and an array of spans (kind, start, stop) as text ``kind:start:stop``.
 
     Base kinds are ``assign``, ``access`` and ``hex`` (leftmost non-overlapping matches of each, those too short dropped;
-    kinds may overlap each other). ``learned`` are runs of token characters with a letter and a digit, outside base spans, whose
-    likelihood under an automaton learned from labelled credentials beats ordinary text by a margin; of other runs, the best
-    parts that do, between ``JOINS`` or from a credential's first characters. Null and empty texts
-    have no spans; null ids and repeated rows are scanned like any other.
+    kinds may overlap each other). ``learned`` are parts of runs of token characters, with a letter and a digit, outside base
+    spans, that have the length of a labelled format and whose likelihood under the automaton learned from its credentials beats
+    ordinary text by a margin. Null and empty texts have no spans; null ids and repeated rows are scanned like any other; time is
+    in proportion to a text's length.
     """
     automata = learn(count)
 

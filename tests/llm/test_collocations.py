@@ -59,7 +59,7 @@ def test_equal_plain_version(spark, monkeypatch, most):
 
 
 def test_many_chunks(spark, monkeypatch):
-    for name, value in (("CHUNK", 700), ("HELD", 900)):
+    for name, value in (("CHUNK", 700), ("HELD", 900), ("GATHERED", 60)):
         monkeypatch.setattr(c, name, value)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)

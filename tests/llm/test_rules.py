@@ -211,6 +211,40 @@ def test_credentials_inside_runs_are_found():
     assert scanner.scan(b"https://example.net/services/hook/number-12/of-the-quick_brown_fox/page.html") == []
 
 
+def test_what_looks_like_credentials():
+    """Identifiers, digests and encoded data are no credentials; a credential is found to the character."""
+    draw, scanner = random.Random(6), secrets.Scanner(secrets.learn())
+    pick = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    hex_ = "0123456789ABCDEF"
+    false = 0
+    for _ in range(40):
+        uuid = "-".join(pick(hex_.lower(), n) for n in (8, 4, 4, 4, 12))
+        for text in (uuid, pick(hex_, 64), f"order{pick(secrets.DIGITS, 20)}", pick(secrets.ALNUM + "+/", 4_000) + "==",
+                     f"/srv/data/{pick(secrets.LOWER, 8)}/{pick(secrets.DIGITS, 6)}/file_{pick(secrets.LOWER, 5)}.html"):
+            false += any(kind == "learned" for kind, *_ in scanner.scan(f"see {text} now".encode()))
+    assert false <= 2
+    exact = total = 0
+    for name, format_ in secrets.FORMATS.items():
+        for credential in secrets.labelled(format_, 10, f"exact {name}"):
+            for before, after in (("see ", " now"), ("STRIPE_KEY=", ""), ("(", ").")):
+                total += 1
+                exact += ("learned", len(before), len(before + credential)) in scanner.scan(f"{before}{credential}{after}".encode())
+    assert exact / total > 0.9
+    assert scanner.scan(b"sk_live_0aB1cD2eF3gH4iJ5")[0][0] == "learned"
+    many = "=".join(secrets.labelled(secrets.FORMATS["package index"], 300, "row"))
+    found = scanner.scan(many.encode())
+    assert len(found) >= 270 and {e - s for _, s, e in found} == {40}
+
+
+def test_long_runs_take_linear_time():
+    scanner, draw = secrets.Scanner(secrets.learn(40)), random.Random(2)
+    data = "".join(draw.choice(secrets.ALNUM + "+/") for _ in range(300_000))
+    for text in (data, "sk_live_" * 40_000, "npm_" * 80_000, "ghp_a1-" * 40_000, "a1=" * 100_000):
+        start = time.perf_counter()
+        scanner.scan(text.encode())
+        assert time.perf_counter() - start < 40, text[:10]
+
+
 def test_automaton_merges_states():
     learned = Automaton(["ab" * n for n in range(1, 30) for _ in range(5)])
     assert len(learned.counts) < 20
