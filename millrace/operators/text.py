@@ -20,7 +20,7 @@ TERM = WORD + r"{2,}"
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 JOIN_BLOCK = 1_000_000  # rows of one term per join task
-BUDGET = 20_000  # posting rows of a query's first wave
+BUDGET = 200_000  # posting rows of a query's first wave
 SLACK = 1e-8  # by which bounds are widened: neither rounding nor a tie may drop a document
 
 # Common English function words.
