@@ -230,6 +230,15 @@ def test_cosine_pairs_equal_brute_force(spark, corpus, least):
     assert copies == {0: 2, 2: 1, 3: 1, 4: 1, 5: 1}
 
 
+def test_terms_are_counted_inside_their_row(spark):
+    """No shuffle before the join with the term statistics."""
+    texts = ["b bb aa bb aa bb", "", None, "Zz", "é éa éa 11 11 11"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    posted = text.postings(rows, "id", "t")
+    assert {tuple(r) for r in posted.collect()} == {(0, "bb", 3), (0, "aa", 2), (3, "zz", 1), (4, "éa", 2), (4, "11", 3)}
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_title_lookup(spark):
     df = spark.createDataFrame([(3, " The Film"), (1, "the film "), (2, "Other")], "id int, title string")
     assert text.find_title(df, "id", "title", "THE FILM").first()["id"] == 1
