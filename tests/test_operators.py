@@ -230,6 +230,21 @@ def test_cosine_pairs_equal_brute_force(spark, corpus, least):
     assert copies == {0: 2, 2: 1, 3: 1, 4: 1, 5: 1}
 
 
+def test_cosine_pairs_of_blocks(spark):
+    """Blocks meet without a shuffle of partial scores; frequent terms go through a matrix product, rare ones one by one."""
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(40)], [1 / (i + 1) for i in range(40)], k=12)) for _ in range(90)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    weights = {}
+    for r in text.tfidf(rows, "id", "t").collect():
+        weights.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    scores = {(a, b): sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items()) for a in weights for b in weights if a < b}
+    pairs = text.cosine_pairs(rows, "id", "t", 0.5, docs=32)
+    assert {(r["a"], r["b"]): round(r["score"], 6) for r in pairs.collect()} == {p: round(x, 6) for p, x in scores.items() if round(x, 9) >= 0.5}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_terms_are_counted_inside_their_row(spark):
     """No shuffle before the join with the term statistics."""
     texts = ["b bb aa bb aa bb", "", None, "Zz", "é éa éa 11 11 11"]
