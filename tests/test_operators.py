@@ -385,6 +385,25 @@ def test_empty_files(spark, tmp_path):
     assert got == {"a.txt": "x", "b.txt": ""}
 
 
+def test_empty_files_without_a_call_for_each(spark, tmp_path, monkeypatch):
+    """Names that need escapes, and folders below; the driver does not ask for the length and name of each file."""
+    (tmp_path / "k=1").mkdir()
+    for name in ("a b+c.txt", "é %20.txt", "k=1/x.txt"):
+        (tmp_path / name).write_text("")
+    (tmp_path / "full.txt").write_text("x")
+    for i in range(200):
+        (tmp_path / "k=1" / f"{i}.txt").write_text("x")
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = type(client).send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **o: calls.append(a[0]) or send(client, *a, **o), raising=False)
+    found = sources.read_documents(spark, str(tmp_path), recursive=True)
+    monkeypatch.undo()
+    assert sum(c.startswith("c") for c in calls) < 3 * 200
+    found = found.filter("path not like '%/k=1/%' or path like '%x.txt'")
+    got = {r["path"].removeprefix(f"file:{tmp_path}/"): bytes(r["content"]) for r in found.collect()}
+    assert got == {"a b+c.txt": b"", "é %20.txt": b"", "k=1/x.txt": b"", "full.txt": b"x"}
+
+
 def test_unknown_linear_option():
     with pytest.raises(TypeError):
         regress.MODELS["linear"][1](None, None, [], "y", "id", depth=3)
