@@ -35,6 +35,17 @@ def test_nearest_equals_brute_force(spark, block):
     assert {(r["id"], r["neighbour"], r["rank"]) for r in got.collect()} == brute_nearest(x, x, 4, True)
 
 
+def test_kmeans_reads_equal_rows_once(spark, monkeypatch):
+    """Rounds go over different rows; sizes and centres are those of all rows."""
+    seen, sums = [], cluster._partial_sums
+    monkeypatch.setattr(cluster, "_partial_sums", lambda rows, *a: seen.append(rows.count()) or sums(rows, *a))
+    x = [0.0] * 300 + [1.0] * 100 + [10.0] * 50 + [12.0] * 150
+    labelled, centres = cluster.kmeans(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, a double"), ["a"], k=2, restarts=4)
+    assert set(seen) == {4}
+    assert [(round(r["a"], 9), r["size"]) for r in centres.orderBy("cluster").collect()] == [(0.25, 400), (11.5, 200)]
+    assert labelled.count() == 600
+
+
 def test_nearest_of_queries_outside(spark):
     """Queries far from all points and in parts without points."""
     rng = np.random.default_rng(11)
