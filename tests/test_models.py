@@ -71,6 +71,27 @@ def test_cosine_of_blank_vectors(spark):
         assert {(r["id"], r["neighbour"], r["rank"], round(r["score"], 6) + 0.0) for r in got} == want
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_many_dimensions_meet_in_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(90, 24)), np.zeros((3, 24))]) + 1e3  # far from the origin, with copies
+    x[40:44] = x[7]
+    df = vectors(spark, x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(i, j, rank) for i in range(93) for rank, j in enumerate(
+        sorted((j for j in range(93) if j != i), key=lambda j: (round(d[i, j], 9), j))[:4], 1)}
+    got = neighbours.nearest(df, df, 4, "id", "id", "vec", exclude_same=True, block=block)
+    rows = got.collect()
+    assert {(r["id"], r["neighbour"], r["rank"]) for r in rows} == want
+    assert all(r["distance"] == pytest.approx(d[r["id"], r["neighbour"]], abs=1e-9) for r in rows)
+
+
+def test_a_task_hands_on_the_closest_of_all_its_blocks(spark):
+    df = vectors(spark, np.random.default_rng(9).normal(size=(200, 20))).select(F.col("id").alias("_q"), F.col("vec").alias("_v"))
+    pairs = neighbours._by_blocks(df, df.withColumnRenamed("_q", "_p"), 3, "_q long, _p long, distance double", 20)
+    assert pairs.count() == 200 * 3  # not three for each of the ten blocks
+
+
 @pytest.mark.parametrize("bad", [None, [1.0, None], [1.0, float("nan")], [1.0]])
 def test_broken_vectors_are_an_error(spark, bad):
     df = spark.createDataFrame([(1, [0.5, 0.5]), (2, bad)], "id long, vec array<double>")
