@@ -1,5 +1,7 @@
 """Neighbours, clustering and regression against brute force."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,6 +94,14 @@ def test_a_task_hands_on_the_closest_of_all_its_blocks(spark):
     assert pairs.count() == 200 * 3  # not three for each of the ten blocks
 
 
+def test_length_of_a_vector_is_summed_once(spark):
+    """Once a component took over a minute for this vector."""
+    df = spark.createDataFrame([(1, [2.0] * 40_000)], "id long, vec array<double>").checkpoint()
+    start = time.perf_counter()
+    unit, some = df.select(*[c.alias(n) for c, n in zip(neighbours.unit_vector(F.col("vec")), ("unit", "some"))]).first()
+    assert some and unit[-1] == pytest.approx(0.005) and time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("bad", [None, [1.0, None], [1.0, float("nan")], [1.0]])
 def test_broken_vectors_are_an_error(spark, bad):
     df = spark.createDataFrame([(1, [0.5, 0.5]), (2, bad)], "id long, vec array<double>")
