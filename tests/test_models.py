@@ -140,6 +140,19 @@ def test_silhouette_equals_brute_force(spark, block, limit):
     assert np.allclose([r["silhouette"] for r in got], brute_silhouette(x, label))
 
 
+def test_silhouette_of_copies_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    label = np.repeat([0, 1, 2], 40)
+    x = 1e5 + rng.normal(size=(120, 30)) + label[:, None]
+    x[:40:2], x[40:80:3] = x[0], x[0]  # equal rows, in two clusters
+    got = cluster.silhouette_samples(vectors(spark, x, label), "id", "vec", "label", 25).orderBy("id").collect()
+    assert np.allclose([r["silhouette"] for r in got], brute_silhouette(x, label), atol=1e-9)
+    same = cluster.silhouette_samples(vectors(spark, np.full((30, 3), 0.1), np.arange(30) % 2), "id", "vec", "label", 7)
+    assert [r["silhouette"] for r in same.collect()] == [0.0] * 30
+    sums = cluster.distance_sums(x[:5], x, np.array([0, 40, 80]))  # one sum for a point and cluster, not one for each block
+    assert np.allclose(sums, [[np.linalg.norm(x[i] - x[j : j + 40], axis=1).sum() for j in (0, 40, 80)] for i in range(5)])
+
+
 def test_silhouette_undefined_for_one_cluster(spark):
     df = vectors(spark, np.eye(3), np.zeros(3, dtype=int))
     assert cluster.silhouette(df, "id", "vec", "label").first()[0] is None
