@@ -149,6 +149,8 @@ def test_silhouette_of_copies_far_from_the_origin(spark):
     assert np.allclose([r["silhouette"] for r in got], brute_silhouette(x, label), atol=1e-9)
     same = cluster.silhouette_samples(vectors(spark, np.full((30, 3), 0.1), np.arange(30) % 2), "id", "vec", "label", 7)
     assert [r["silhouette"] for r in same.collect()] == [0.0] * 30
+    mean = cluster.silhouette(vectors(spark, x, label), "id", "vec", "label", 25).first()[0]
+    assert mean == pytest.approx(brute_silhouette(x, label).mean(), abs=1e-9)
     sums = cluster.distance_sums(x[:5], x, np.array([0, 40, 80]))  # one sum for a point and cluster, not one for each block
     assert np.allclose(sums, [[np.linalg.norm(x[i] - x[j : j + 40], axis=1).sum() for j in (0, 40, 80)] for i in range(5)])
 
