@@ -160,6 +160,14 @@ def test_silhouette_undefined_for_one_cluster(spark):
     assert cluster.silhouette(df, "id", "vec", "label").first()[0] is None
 
 
+def test_rounds_of_merges_send_no_rows_through_the_driver(spark):
+    rows = [(i, i, 1.0, 0.0, [float(i % 97), float(i % 89)]) for i in range(300)]
+    live = spark.createDataFrame(rows, "c long, rep long, w double, h double, _v array<double>")
+    found = cluster._mutual(live, 2, 50, 1)
+    assert found.count() > 0
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
 def brute_dbscan(x, eps, need):
     d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     near = d2 <= eps * eps
