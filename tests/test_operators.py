@@ -207,6 +207,18 @@ def test_similar_docs_excludes_self_and_pads(spark, corpus):
     assert got[4] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
 
 
+def test_searches_weigh_only_the_terms_asked_for(spark, corpus):
+    model = text.TfIdf.fit(corpus, "id", "t")
+    q = corpus.limit(1).select(F.lit("q").alias("q"), F.col("t").alias("s"))
+    text.match_text(corpus, q, "id", "t", "q", "s", 2, model).collect()
+    text.similar_docs(corpus, corpus.limit(1), "id", "t", 2, model).collect()
+    assert "_weights" not in model.__dict__  # the weights of all postings were never made
+    every = {(r["id"], r["term"]): r["weight"] for r in model.weights().collect()}
+    term = min(t for _, t in every)
+    some = {(r["id"], r["term"]): r["weight"] for r in model.weights_of(model.terms.filter(F.col("term") == term)).collect()}
+    assert some == pytest.approx({k: w for k, w in every.items() if k[1] == term})
+
+
 def test_match_text_drops_unknown_words(spark, corpus):
     q = spark.createDataFrame([(7, "whale unknownword"), (8, "nothing here")], "q int, s string")
     got = text.match_text(corpus, q, "id", "t", "q", "s", 2).orderBy("query_id", "rank").collect()
