@@ -155,6 +155,24 @@ def test_silhouette_of_copies_far_from_the_origin(spark):
     assert np.allclose(sums, [[np.linalg.norm(x[i] - x[j : j + 40], axis=1).sum() for j in (0, 40, 80)] for i in range(5)])
 
 
+def test_distances_of_two_blocks_count_for_both():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 5)), rng.normal(size=(700, 5))
+    start, start_x = np.array([0, 10, 400]), np.array([0, 1, 2, 290])
+    rows, columns = cluster.distance_sums(x, y, start, start_x)
+    gap = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert np.allclose(rows, np.add.reduceat(gap, start, axis=1)) and np.allclose(columns, np.add.reduceat(gap, start_x, axis=0).T)
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_silhouette_of_blocks_of_several_small_clusters(spark, limit):
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 40, 300)
+    x = rng.normal(size=(300, 2)) * 0.3 + np.stack([label % 7, label // 7], axis=1)  # blocks want some clusters of each other, or of one side only
+    got = cluster.silhouette_samples(vectors(spark, x, label), "id", "vec", "label", 30, limit).orderBy("id").collect()
+    assert np.allclose([r["silhouette"] for r in got], brute_silhouette(x, label))
+
+
 def test_silhouette_undefined_for_one_cluster(spark):
     df = vectors(spark, np.eye(3), np.zeros(3, dtype=int))
     assert cluster.silhouette(df, "id", "vec", "label").first()[0] is None
