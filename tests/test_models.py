@@ -9,6 +9,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster, features, neighbours, regress
+from millrace.plans import models
 
 
 def vectors(spark, x, label=None):
@@ -296,6 +297,16 @@ def test_ward_of_equal_rows(spark):
     assert labelled.select("cluster").distinct().count() == 5 and labelled.count() == 90
 
 
+def test_ward_table_labels_no_rows(spark, monkeypatch):
+    """The merges alone need none of the rounds that go through all rows for their clusters."""
+    x = np.random.default_rng(7).normal(size=(60, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(60)))
+    monkeypatch.setattr(cluster, "components", lambda *a: pytest.fail("labels were looked for"))
+    merges = cluster.ward_table(df, ["a", "b"], "id").orderBy("step").collect()
+    assert [(r.left, r.right, r.size) for r in merges] == [(a, b, s) for a, b, _, s in brute_ward(x)]
+    assert models.linkage.__code__.co_names.count("hierarchical") == models.linkage_total.__code__.co_names.count("hierarchical") == 0
+
+
 def test_ward_of_few_or_broken_rows(spark):
     empty = spark.createDataFrame([], "id long, a double")
     assert [d.count() for d in cluster.hierarchical(empty, ["a"], "id")] == [0, 0]
