@@ -1,5 +1,6 @@
 """Hand cases."""
 
+import dataclasses
 import json
 import random
 from decimal import Decimal
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F, types as T
 
 from millrace import functions as fn, sources
 from millrace.operators import clean, docs, features, filters, forecast, ordering, profile, regress, rollups, series, text
+from millrace.session import write_and_read
 
 
 def column(df, name="x"):
@@ -219,6 +221,31 @@ def test_searches_weigh_only_the_terms_asked_for(spark, corpus):
     assert some == pytest.approx({k: w for k, w in every.items() if k[1] == term})
 
 
+def test_searches_join_words_of_blocks_not_postings(spark):
+    """Blocks of documents give the same vectors and the same best documents whatever their size, and postings are not shuffled."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(30)] + ["Ünïcode", "中文字", "x_1", "22", "a", "İz"]
+    rows = [(i, " ".join(draw.choices(words, k=9))) for i in range(60)] + [(60, ""), (61, None), (62, "a b"), (63, "yy\x00zz\n\tyy")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    whole = text.TfIdf.fit(df, "id", "t")
+    model = dataclasses.replace(whole, blocks=write_and_read(text.packed_terms(df, "id", "t", most=200)))
+    assert model.blocks.count() > 5
+    weighted = model.weighted()
+    assert sorted((r.id, r.term, r.tf) for r in weighted.collect()) == sorted(tuple(r) for r in text.postings(df, "id", "t").collect())
+    assert "Window" not in weighted._jdf.queryExecution().executedPlan().toString()
+    vectors = {}
+    for r in whole.weights().collect():
+        vectors.setdefault(r.id, {})[r.term] = r.weight
+    seeds = df.filter("id % 20 = 3")
+    got = {}
+    for r in text.similar_docs(df, seeds, "id", "t", 5, model).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
+    for q in (3, 23, 43, 63):
+        score = {i: sum(w * vectors[q].get(t, 0.0) for t, w in vectors.get(i, {}).items()) for i, _ in rows if i != q}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        assert got[q] == [(i, round(score[i], 6)) for i in best]
+
+
 def test_match_text_drops_unknown_words(spark, corpus):
     q = spark.createDataFrame([(7, "whale unknownword"), (8, "nothing here")], "q int, s string")
     got = text.match_text(corpus, q, "id", "t", "q", "s", 2).orderBy("query_id", "rank").collect()
