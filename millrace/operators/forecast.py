@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators.features import MinMaxScale
 from millrace.operators.regress import SEED
 from millrace.operators.series import HORIZONS, LOOKBACK, latest_window, sequences, split_side
+from millrace.session import in_pieces
 
 HOLDOUT = 0.1
 EPSILON = 2.220446049250313e-16  # double precision machine epsilon
@@ -47,21 +49,42 @@ def prepare(
     return Prepared(sides["train"], sides["test"], scale)
 
 
-def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS) -> Mapping:
-    """One fitted model per horizon, from all samples."""
-    if kind == "persistence":
-        return {}
-    rows = train.withColumn("features", array_to_vector("window")).persist()
+@contextmanager
+def _fit_rows(train: DataFrame) -> Iterator[DataFrame]:
+    """The samples as the fits read them, cached: in as few pieces as their number asks for, in order, so that a fit of many small
+    rounds does not start a task for every shuffle partition in each."""
+    found = train.withColumn("features", array_to_vector("window")).persist()
+    rows = in_pieces(found, "sample").sortWithinPartitions("sample").persist()
     try:
-        def run(h):
-            return h, KINDS[kind]().setLabelCol(f"label_{h}").fit(rows)
-
-        with ThreadPool(len(horizons)) as pool:  # independent fits over the same cached rows
-            return dict(pool.map(inheritable_thread_target(train.sparkSession)(run), horizons))
+        rows.count()
+        found.unpersist()
+        yield rows
     finally:
+        found.unpersist()
         rows.unpersist()
 
 
+def fit_kinds(train: DataFrame, kinds: Sequence[str], horizons: Sequence[int] = HORIZONS) -> dict[str, dict]:
+    """One fitted model per kind and horizon, from all samples; none for persistence."""
+    wanted = [(kind, h) for kind in kinds if kind != "persistence" for h in horizons]
+    fitted = {kind: {} for kind in kinds}
+    if not wanted:
+        return fitted
+
+    with _fit_rows(train) as rows, ThreadPool(len(wanted)) as pool:  # independent fits over the same cached rows
+        def run(job):
+            return KINDS[job[0]]().setLabelCol(f"label_{job[1]}").fit(rows)
+
+        for (kind, h), model in zip(wanted, pool.map(inheritable_thread_target(train.sparkSession)(run), wanted)):
+            fitted[kind][h] = model
+    return fitted
+
+
+def fit_horizons(train: DataFrame, kind: str, horizons: Sequence[int] = HORIZONS) -> Mapping:
+    """One fitted model per horizon, from all samples."""
+    return fit_kinds(train, [kind], horizons)[kind]
+
+
 def predict_horizons(
     windows: DataFrame, models: Mapping, scale: MinMaxScale | None = None, horizons: Sequence[int] = HORIZONS
 ) -> DataFrame:
@@ -117,8 +140,9 @@ def horizon_metrics(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def run_kinds(prepared: Prepared, kinds: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Test forecasts of several kinds with a ``model`` column."""
+    fitted = fit_kinds(prepared.train, kinds, horizons)
     frames = [
-        forecast(prepared.train, prepared.test, kind, prepared.scale, horizons).withColumn("model", F.lit(kind))
+        predict_horizons(prepared.test, fitted[kind], prepared.scale, horizons).withColumn("model", F.lit(kind))
         for kind in kinds
     ]
     return reduce(DataFrame.unionByName, frames)
@@ -150,10 +174,10 @@ def forecast_latest(
 ) -> DataFrame:
     """(horizon, one rounded column per kind) for one window."""
     window = window.select("sample", "window")
+    fitted = fit_kinds(prepared.train, kinds, horizons)
     frames = []
     for kind in kinds:
-        models = fit_horizons(prepared.train, kind, horizons)
-        out = predict_horizons(window, models, prepared.scale, horizons)
+        out = predict_horizons(window, fitted[kind], prepared.scale, horizons)
         frames.append(out.select("horizon", F.lit(kind).alias("model"), F.round("forecast", 2).alias("forecast")))
     stacked = reduce(DataFrame.unionByName, frames)
     return stacked.groupBy("horizon").pivot("model", list(kinds)).agg(F.first("forecast")).orderBy("horizon")

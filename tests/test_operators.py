@@ -194,6 +194,27 @@ def test_text_cleaning(spark):
     assert got == {0: ["dog", "run", "well-known", "box", "church"], 1: [], 2: [], 3: []}
 
 
+def test_fits_read_few_pieces_in_order(spark, monkeypatch):
+    """The fits of a short series do not get a piece for every shuffle partition, and kinds share the rows."""
+    seen = []
+
+    class Probe:
+        def setLabelCol(self, name):
+            self.name = name
+            return self
+
+        def fit(self, rows):
+            seen.append((self.name, rows.rdd.getNumPartitions(), [r["sample"] for r in rows.select("sample").collect()]))
+            return self.name
+
+    monkeypatch.setitem(forecast.KINDS, "probe", Probe)
+    indexed = spark.range(400).select(F.col("id").alias("row_index"), (F.col("id") % 7).cast("double").alias("x"))
+    train = series.sequences(indexed.repartition(8), "x")
+    assert forecast.fit_horizons(train, "probe") == {h: f"label_{h}" for h in forecast.HORIZONS}
+    assert sorted(seen) == [(f"label_{h}", 1, list(range(400 - 67))) for h in forecast.HORIZONS]
+    assert forecast.fit_kinds(train, ["persistence"]) == {"persistence": {}}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     texts = ["red fox jumps", "red fox jumps", "blue whale sings", "red whale", "", "fox fox fox"]
