@@ -425,3 +425,17 @@ def test_scales_invert_and_normalise(spark):
     row = features.StandardScale.fit(df, ["x", "c"]).transform(df).agg(
         F.avg("x"), F.stddev_pop("x"), F.max("c")).first()
     assert np.allclose(list(row), [0, 1, 0])
+
+
+def test_boosting_reads_equal_rows_once(spark):
+    """Rows of equal features go into the rounds as one with their number; predictions are those of a fit on all rows."""
+    noise = np.random.default_rng(8).normal(0, 1, 240)  # without noise, splits tie and rounding decides
+    rows = [(i, float(i % 5), float(i % 4), float(3 * (i % 5) - 2 * (i % 4) + noise[i])) for i in range(240)]
+    train = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    grouped = regress._grouped(train, ["a", "b"], "y")
+    assert grouped.count() == 20 and grouped.agg(F.sum("_n")).first()[0] == 240
+    options = {"rounds": 6, "depth": 3}
+    want, _ = regress._fit_predict(regress.boosted("y", **options), train, train, ["a", "b"], "y")
+    want = {r["id"]: r["prediction"] for r in want.collect()}
+    got = regress.predict_with("gbt", train, train, ["a", "b"], "y", "id", **options).collect()
+    assert {r["id"]: r["prediction"] for r in got} == pytest.approx(want)
