@@ -335,6 +335,25 @@ def test_kmeans_takes_the_best_restart(spark):
     assert np.isclose(sum(r[4] for r in rows), cost)
 
 
+def test_kmeans_draws_first_centres_from_all_rows(spark):
+    """Two single rows far from 20,000 others: centres that all begin among the others never part them."""
+    rows = spark.range(20_002).select("id", F.when(F.col("id") < 20_000, F.col("id") / 20_000).otherwise(1_000.0).alias("a"),
+                                      F.when(F.col("id") == 20_001, 200.0).otherwise(0.0).alias("b"))
+    labelled, centres = cluster.kmeans(rows, ["a", "b"], k=3, restarts=3)
+    assert [r["size"] for r in centres.orderBy("cluster").collect()] == [20_000, 1, 1]
+    assert labelled.filter("id >= 20000").orderBy("id").select("cluster").collect() == [(1,), (2,)]
+
+
+def test_kmeans_draws_in_proportion(spark):
+    """A row is drawn with its number times its squared distance, whatever the partitions."""
+    rows = spark.createDataFrame([([0.0], 5), ([1.0], 8), ([2.0], 1), ([4.0], 1)], "_v array<double>, _n long").withColumn("_h", F.xxhash64("_v"))
+    centres = {i: np.array([[0.0]]) for i in range(4_000)}
+    draws = [{r["restart"]: r["best"]["_v"][0] for r in cluster._drawn(rows.repartition(parts), centres, 1, 7).collect()} for parts in (1, 3)]
+    assert draws[0] == draws[1] and len(draws[0]) == 4_000
+    shares = [sum(x == v for x in draws[0].values()) / 4_000 for v in (0.0, 1.0, 2.0, 4.0)]
+    assert np.allclose(shares, [0, 8 / 28, 4 / 28, 16 / 28], atol=0.03)
+
+
 def test_kmeans_of_few_or_broken_rows(spark):
     rows = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 5.0)], "id long, a double")
     labelled, centres = cluster.kmeans(rows, ["a"], k=4)
