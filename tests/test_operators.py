@@ -305,6 +305,24 @@ def test_cosine_pairs_of_blocks(spark):
     assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
+def test_cosine_pairs_of_blocks_of_parts(spark, monkeypatch):
+    """A block has several parts, which meet those of all blocks, their own included; ids are texts, some documents long."""
+    monkeypatch.setattr(text, "POSTINGS", 150)
+    draw = random.Random(6)
+    words, share = [f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)]
+    rows = [(f"d{i}", " ".join(draw.choices(words, share, k=300 if i % 30 == 0 else 14))) for i in range(120)] + [("e", "lonely"), ("f", None)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    weights = {}
+    for r in text.tfidf(df, "id", "t").collect():
+        weights.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    scores = {(a, b): sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items()) for a in weights for b in weights if a < b}
+    got = {(r["a"], r["b"]): round(r["score"], 6) for r in text.cosine_pairs(df, "id", "t", 0.4, docs=8).collect()}
+    assert len(got) > 100 and got == {p: round(x, 6) for p, x in scores.items() if round(x, 9) >= 0.4}
+    lone = df.join(text.text_copies(df, "id", "t"), "id")
+    blocks = text._blocks(text.TfIdf.fit(lone, "id", "t", "n_copies"), 8)
+    assert sum(len(r["ids"]) for r in blocks.collect()) == 120 and blocks.count() <= 8 + 120 // 16
+
+
 def test_terms_are_counted_inside_their_row(spark):
     """No shuffle before the join with the term statistics."""
     texts = ["b bb aa bb aa bb", "", None, "Zz", "é éa éa 11 11 11"]
