@@ -1,6 +1,6 @@
 """Readers and writers."""
 
-from millrace.sources.files import document_text, read_documents  # noqa: F401
+from millrace.sources.files import document_text, read_documents, write_documents  # noqa: F401
 from millrace.sources.tables import (  # noqa: F401
     append_columns,
     jdbc_table,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F, types as T
 from millrace import functions as fn, sources
 from millrace.operators import clean, docs, features, filters, forecast, ordering, profile, regress, rollups, series, text
 from millrace.session import write_and_read
+from millrace.sources import files
 
 
 def column(df, name="x"):
@@ -482,6 +483,28 @@ def test_empty_files_without_a_call_for_each(spark, tmp_path, monkeypatch):
     assert got == {"a b+c.txt": b"", "é %20.txt": b"", "k=1/x.txt": b"", "full.txt": b"x"}
 
 
+def test_documents_written_are_read_again(spark, tmp_path):
+    """A file a row, also of equal keys, empty and missing texts; by tasks and by Spark's writer; listed in few tasks."""
+    rows = [(i, f"a {i}\nü") for i in range(60)] + [(7, "again"), (60, ""), (61, None), (None, "x")]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    want = sorted((str(k), (t or "") + "\n") for k, t in rows)
+    before, tracker = spark.conf.get(files.LISTING), spark.sparkContext.statusTracker()
+    for path in (f"file:{tmp_path}/own dir", f"file:///{tmp_path}/too".replace("////", "///"), str(tmp_path / "spark")):
+        sources.write_documents(df if "spark" not in path else df.filter("t <> 'again'").union(df.filter("t is null")), path, "k", "t")
+        spark.sparkContext.setJobGroup(path, path)
+        found = sources.read_documents(spark, path, recursive=True)
+        stages = [s for job in tracker.getJobIdsForGroup(path) for s in tracker.getJobInfo(job).stageIds]
+        assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= files.TURNS * spark.sparkContext.defaultParallelism
+        spark.sparkContext.setJobGroup("", "")
+        got = [(r["path"].split("k=")[1].split("/")[0].replace("__HIVE_DEFAULT_PARTITION__", "None"), r["text"]) for r in
+               sources.document_text(found).collect()]
+        assert sorted(got) == [w for w in want if "spark" not in path or w[1] != "again\n"]
+    assert spark.conf.get(files.LISTING) == before
+    with pytest.raises(FileExistsError):
+        sources.write_documents(df, f"file:{tmp_path}/own dir", "k", "t")
+    assert not [f for f in (tmp_path / "own dir").rglob("*") if f.name.startswith(".")]
+
+
 def test_unknown_linear_option():
     with pytest.raises(TypeError):
         regress.MODELS["linear"][1](None, None, [], "y", "id", depth=3)
