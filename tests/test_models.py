@@ -297,6 +297,33 @@ def test_ward_of_equal_rows(spark):
     assert labelled.select("cluster").distinct().count() == 5 and labelled.count() == 90
 
 
+@pytest.mark.parametrize("k", [3, 6, 45])
+def test_ward_labels_follow_the_merges(spark, monkeypatch, k):
+    """A chain of 40 different values, of which most are equal rows too: labels are those of all but the last k - 1 merges, and
+    need few rounds, whatever the depth of the tree and the number of rows."""
+    values = [2.0 ** i for i in range(40) for _ in range(1 + i * 7 % 5)]
+    n = len(values)
+    df = spark.createDataFrame([(i * 3, v) for i, v in enumerate(values)], "id long, a double").repartition(3)
+    written, write = [], cluster.write_and_read
+    roots = cluster._roots
+    monkeypatch.setattr(cluster, "components", None)
+
+    def counted(kept):
+        monkeypatch.setattr(cluster, "write_and_read", lambda d: written.append(d) or write(d))
+        out = roots(kept)
+        monkeypatch.setattr(cluster, "write_and_read", write)
+        return out
+
+    monkeypatch.setattr(cluster, "_roots", counted)
+    labelled, merges = cluster.hierarchical(df, ["a"], "id", k=k)
+    assert 2 <= len(written) <= 9
+    groups = {i: [i] for i in range(n)}
+    for m in merges.orderBy("step").limit(n - k).collect():
+        groups[n + m.step] = groups.pop(m.left) + groups.pop(m.right)
+    want = {i: label for label, rows in enumerate(sorted(map(sorted, groups.values()))) for i in rows}
+    assert len(groups) == k and {r.id // 3: r.cluster for r in labelled.collect()} == want
+
+
 def test_ward_table_labels_no_rows(spark, monkeypatch):
     """The merges alone need none of the rounds that go through all rows for their clusters."""
     x = np.random.default_rng(7).normal(size=(60, 2))
